@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .sharding import op8_sharding
+from .tokens import op2_token_counts
 
-QUERIES = {"op8_sharding": op8_sharding}
+QUERIES = {"op2_token_counts": op2_token_counts, "op8_sharding": op8_sharding}
 ORACLE_SQL: dict[str, str] = {}
