@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .archive import OP4_SQL, op4_warc
+from .mixing import OP10_SQL, op10_mixing
 from .sharding import op8_sharding
+from .simhash import op7_simhash
 from .tokens import op2_token_counts
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op8_sharding": op8_sharding}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_warc": op4_warc, "op7_simhash": op7_simhash, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op10_mixing": OP10_SQL}
