@@ -47,10 +47,25 @@ END_OF_TEXT, SPECIAL = 0x110000, 0x110001
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-def class_table() -> np.ndarray:
+def class_table(tokenizer) -> np.ndarray:
+    """Letters and numbers as the tokenizer's library takes them.  Its Unicode
+    version need not be Python's: where Python and ``regex`` don't agree on a
+    code point, the library is asked."""
+    import regex
+
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.full(0x110002, OTHER, np.uint8)
+    out, other = np.full(0x110002, OTHER, np.uint8), np.full(0x110000, OTHER, np.uint8)
     out[:0x110000] = [kinds.get(unicodedata.category(chr(cp))[0], OTHER) for cp in range(0x110000)]
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = "".join(map(chr, points.tolist()))
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        for m in regex.finditer(pattern, every):
+            other[points[m.start() : m.end()]] = kind
+    unsure = np.flatnonzero(out[:0x110000] != other).tolist()
+    if unsure:
+        probe = "".join(f"a{chr(cp)}\n1{chr(cp)}\n" for cp in unsure)
+        cut = {span[0] for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(probe)}
+        out[unsure] = [LETTER if 6 * i + 1 not in cut else NUMBER if 6 * i + 4 not in cut else OTHER for i in range(len(unsure))]
     out[WHITE] = BLANK
     for chars, kind in (("stmd", STMD), ("r", R), ("v", V), ("l", LL), ("e", E_), ("'", APOSTROPHE), (" ", SPACE)):
         out[[ord(c) for c in chars]] = kind
@@ -120,7 +135,7 @@ class ByteLevelCounter:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.special = [a["content"] for a in json.load(f)["added_tokens"]]
-        self.classes, self.table = class_table(), transitions()
+        self.classes, self.table = class_table(self.tokenizer), transitions()
         with np.errstate(over="ignore"):
             base = np.uint64(0x9E3779B97F4A7C15 | 1)
             inverse = np.uint64(pow(int(base), -1, 1 << 64))
