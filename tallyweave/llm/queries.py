@@ -10,7 +10,8 @@ from .mixing import OP10_SQL, op10_mixing
 from .quality import op9_quality
 from .sharding import op8_sharding
 from .simhash import op7_simhash
+from .suffix_dedup import op1_suffix_dedup
 from .tokens import op2_token_counts
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_licences": op5_licences, "op6_embeddings": op6_embeddings, "op7_simhash": op7_simhash, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_token_counts": op2_token_counts, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_licences": op5_licences, "op6_embeddings": op6_embeddings, "op7_simhash": op7_simhash, "op8_sharding": op8_sharding, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_licences": OP5_SQL, "op10_mixing": OP10_SQL}
