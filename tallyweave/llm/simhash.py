@@ -40,6 +40,8 @@ FANOUT = 8
 FRONTIER, PART, MOST_PARTS = 1 << 19, 1024, 64
 #: Fingerprints aimed at for a group when choosing blocks.
 GROUP_AIM = 8192
+#: Rows of whole groups that a similarity search takes at once.
+SHARD = 1 << 16
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -180,5 +182,125 @@ def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
     return fps.join(label.select("fp", "label").join(least, "label"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Similarity search: bits of a band, bands, most differing bits of a pair looked at, bins of a sketch.
+BAND_BITS, BANDS, FAR_BITS, BINS = 12, 26, 18, 128
+
+
+def sketched(text: bytes, words: int, seed: int = SEED) -> tuple[int, bytes]:
+    """The fingerprint, and a sketch of the set of shingles: in each of BINS
+    ranges of hashes the least one, as a byte (0: none)."""
+    from xxhash import xxh64_intdigest
+
+    w = text.lower().split()
+    if not w:
+        return 0, bytes(BINS)
+    shingles = [xxh64_intdigest(b" ".join(w[i : i + words]), seed) for i in range(max(1, len(w) - words + 1))]
+    h = np.array(shingles, ">u8")
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    h = np.sort(h.astype(np.uint64))
+    bins = (h >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    sketch = np.zeros(BINS, np.uint8)
+    sketch[bins[first]] = h[first] % np.uint64(255) + np.uint64(1)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"), sketch.tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches, row by row."""
+    some = (a != 0) | (b != 0)
+    return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
+
+
+def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: groups of texts that links of Jaccard similarity
+    ``least`` or more between their sets of shingles join.
+
+    Such texts differ in more bits than blocks can hold apart, so fingerprints
+    meet on BANDS random choices of BAND_BITS bits; pairs within FAR_BITS that
+    the Gray-order index finds there are checked by sketches of their shingles.
+    A pair at similarity 0.8 (one bit in six differs) meets in one band at least
+    with probability 0.95, at 0.9 with 0.999."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def each(batches):
+        for b in batches:
+            texts = pc.fill_null(b.column(1), "").cast(pa.binary())
+            got = [sketched(t.as_py(), words) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([f for f, _ in got], np.uint64).view(np.int64)), pa.array([s for _, s in got], pa.binary())], ["doc_id", "fp", "sketch"])
+
+    docs = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(each, f"doc_id {id_type}, fp long, sketch binary")
+    docs = written(docs.withColumn("node", F.xxhash64("fp", "sketch")), "sketches")
+    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+    rng = np.random.default_rng(SEED)
+    chosen = [rng.choice(64, BAND_BITS, replace=False) for _ in range(BANDS)]
+
+    def spread(batches):
+        for b in batches:
+            fp = b.column(1).to_numpy().view(np.uint64)
+            for i, bits in enumerate(chosen):
+                value = np.full(len(fp), i, np.int64)
+                for bit in bits:
+                    value = value << 1 | (fp >> np.uint64(bit) & np.uint64(1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value), *b.columns[:3]], ["value", "node", "fp", "sketch"])
+
+    met = nodes.select("node", "fp", "sketch").mapInArrow(spread, "value long, node long, fp long, sketch binary")
+    # Groups: BANDS * 2^BAND_BITS at most.
+    codes = nodes.select("node", "fp").withColumn("sketch", F.lit(b"")).mapInArrow(spread, "value long, node long, fp long, sketch binary")
+    sizes = codes.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    parts = sizes.select("value", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART)).cast("int").alias("parts"))
+    met = met.join(F.broadcast(parts), "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select(F.xxhash64("value", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "fp", "sketch")
+
+    def shard(keys, node, fp, sketch):
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BINS)
+        labels = np.arange(len(fp))
+        for i, j in GrayIndex(keys, fp.view(np.uint64)).links(FAR_BITS):
+            for s in range(0, len(i), 1 << 14):
+                a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                apart = labels[a] != labels[b]
+                a, b = a[apart], b[apart]
+                near = similarity(sketch[a], sketch[b]) >= least
+                labels = local_components(len(fp), a[near], b[near], labels)
+        linked = np.flatnonzero(labels != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
+
+    def join(batches):
+        held, size = [], 0
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            if size > SHARD and len(keys):  # a key is never parted
+                same = int(np.searchsorted(keys != held[-1][0][-1], True)) if keys[0] == held[-1][0][-1] else 0
+                if same:
+                    held.append(tuple(c.slice(0, same).to_numpy(zero_copy_only=False) for c in b.columns))
+                if same < len(keys):
+                    yield shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+                b = b.slice(same)
+            if b.num_rows:
+                held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+                size += b.num_rows
+        if held:
+            yield shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+    groups = connected_components(edges)
+    label = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("label"))
+    least_id = label.groupBy("label").agg(F.min("least").alias("component_id"))
+    return docs.select("doc_id", "node").join(label.select("node", "label").join(least_id, "label"), "node").select("doc_id", "component_id")
+
+
+def deduplicated(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group that ``similar`` finds, with the columns of
+    ``df``: a row of the group's least id.  Of rows with that id, one; rows
+    whose group has null ids only keep one as well."""
+    stay = similar(df, words, least, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    repeats = df.groupBy(id_col).count().agg(F.max("count")).first()[0]
+    out = df.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    return out if repeats is None or repeats == 1 else out.dropDuplicates([id_col])
+
+
 def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
