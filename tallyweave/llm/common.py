@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect garbage, so that Spark's cleaner removes
-    the shuffle files of steps whose results have been written."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have Spark's cleaner remove the shuffle files of steps whose results are
+    written.  It follows the driver's garbage collection: the first round frees
+    what Python holds of the plans, the second the plans' shuffles."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)

@@ -42,8 +42,9 @@ from .common import release_shuffles, table, written
 from .induced import suffix_order
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text hashed at once; bytes of contexts in a shard; contexts of a gram beyond which it is divided.
-BLOCK, SHARD, MANY = 2 << 20, 8 << 20, 50_000
+#: Bytes of text hashed at once; of text whose anchors are packed together; of contexts in a shard; contexts
+#: of a gram beyond which it is divided; contexts sent in a batch.
+BLOCK, PACKED, SHARD, MANY, SENT = 1 << 20, 8 << 20, 1 << 20, 10_000, 8192
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -116,11 +117,11 @@ def _unplanes(b: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _blocks(column: pa.Array):
+def _blocks(column: pa.Array, most: int):
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
     for i, s in enumerate(sizes.tolist()):
-        if size and size + s > BLOCK:
+        if size and size + s > most:
             yield at, i
             at, size = i, 0
         size += s
@@ -135,11 +136,16 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def _send(buckets: int, length: int, gram: int):
     """Anchors by bucket, packed; those whose context stands in the batch with a smaller id go to spans at once (bucket -1)."""
 
-    def send(batches):
+    def packs(batches):
         for b in batches:
+            for s, e in _blocks(b.column(2), PACKED):
+                yield b.slice(s, e - s)
+
+    def send(batches):
+        for b in packs(batches):
             keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             parts = []
-            for s, e in _blocks(b.column(2)):
+            for s, e in _blocks(b.column(2), BLOCK):
                 h, c, text, at = anchors(_bytes(b.column(2).slice(s, e - s)), length, gram)
                 parts.append((h, c, text + s, at))
             h, c, row, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([],) * 4
@@ -251,9 +257,12 @@ def _fetch(length: int, gram: int):
     """Contexts' bytes, with the route on which equal windows meet."""
     reach, half = length - gram, (length - gram) // 2
 
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["route", "id", "key", "context", "places"])
+
     def fetch(batches):
+        out: list = []
         for b in batches:
-            out = []
             for i in range(b.num_rows):
                 text = (b.column(1)[i].as_py() or "").encode()
                 for ask in b.column(2)[i].as_py():
@@ -267,8 +276,11 @@ def _fetch(length: int, gram: int):
                             out.append((_digest(b"l", text[at - half : at + gram]), *row))
                         if at + gram + half <= len(text):
                             out.append((_digest(b"r", text[at : at + gram + half]), *row))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["route", "id", "key", "context", "places"])
+                if len(out) >= SENT:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
 
     return fetch
 
