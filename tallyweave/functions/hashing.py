@@ -37,7 +37,7 @@ def _times(c: Column, by: int) -> Column:
 
 def seed_at(index: Column, most: int) -> Column:
     """The seed at an index that varies by row, below ``most``."""
-    return F.element_at(F.array(*[F.lit(SEEDS[i]).cast("long") for i in range(most)]), index + 1)
+    return F.element_at(F.array(*[F.lit(SEEDS[i]).cast("long") for i in range(most)]), (index + 1).cast("int"))
 
 
 def with_hashes(df: DataFrame, hashes: dict[str, tuple[list[Column], int | Column]], raw_seed: bool = False) -> DataFrame:
