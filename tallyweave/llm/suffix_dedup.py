@@ -44,12 +44,31 @@ from .induced import suffix_order
 LENGTH, GRAM = 50, 24
 #: Bytes of text hashed at once; of text whose anchors are packed together; of contexts in a shard; contexts
 #: of a gram beyond which it is divided; contexts sent in a batch.
-BLOCK, PACKED, SHARD, MANY, SENT = 1 << 20, 8 << 20, 1 << 20, 10_000, 8192
+BLOCK, PACKED, SHARD, MANY, SENT = 1 << 19, 4 << 20, 1 << 19, 10_000, 8192
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _frugal(f):
+    """``f`` over batches, returning freed memory to the system after each:
+    workers live on and would otherwise keep their largest task's peak."""
+
+    def run(batches):
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        pool = pa.default_memory_pool()
+        for out in f(batches):
+            yield out
+            del out
+            pool.release_unused()
+            if trim:
+                trim(0)
+
+    return run
+
+
 class _Powers:
     up = down = np.empty(0, np.uint64)
 
@@ -392,14 +411,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         docs = written(docs.withColumn("key", F.monotonically_increasing_id()), "repeats-keyed")
     rank = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("key", rank.alias("id"), "text").mapInArrow(_send(max(64, 4 * partitions), length, gram), _SENT_SCHEMA)
+    sent = docs.select("key", rank.alias("id"), "text").mapInArrow(_frugal(_send(max(64, 4 * partitions), length, gram)), _SENT_SCHEMA)
     spread = F.when(F.col("bucket") == -1, F.xxhash64("first")).otherwise(F.xxhash64("bucket"))
-    met = sent.repartition(partitions, spread).sortWithinPartitions("bucket").mapInArrow(_meet, "kind int, key long, id long, gram long, places array<long>")
+    met = sent.repartition(partitions, spread).sortWithinPartitions("bucket").mapInArrow(_frugal(_meet), "kind int, key long, id long, gram long, places array<long>")
     met = written(met, "repeats-met")
     release_shuffles(spark)
     asked = met.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("kind", "id", "gram", "places")).alias("asks"))
-    contexts = docs.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(_fetch(length, gram), "route long, id long, key long, context binary, places array<long>")
-    windows = written(contexts.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_sort_shard(length), "key long, begins array<long>"), "repeats-windows")
+    contexts = docs.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(_frugal(_fetch(length, gram)), "route long, id long, key long, context binary, places array<long>")
+    windows = written(contexts.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_frugal(_sort_shard(length)), "key long, begins array<long>"), "repeats-windows")
     release_shuffles(spark)
     spans = met.where("kind = 0").select("key", "places", F.lit(None).cast("array<long>").alias("begins")).unionByName(windows.select("key", F.lit(None).cast("array<long>").alias("places"), "begins"))
     spans = spans.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("begins").alias("begins"))
@@ -408,7 +427,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     out = docs.join(spans, "key", "left").select("id", "text", "places", "begins")
     schema = f"doc_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return out.mapInArrow(_cut(length, gram, with_text, to_arrow_type(id_type)), schema)
+    return out.mapInArrow(_frugal(_cut(length, gram, with_text, to_arrow_type(id_type))), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir):
