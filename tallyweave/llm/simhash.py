@@ -183,7 +183,7 @@ def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
 
 
 #: Similarity search: bits of a band, bands, most differing bits of a pair looked at, bins of a sketch.
-BAND_BITS, BANDS, FAR_BITS, BINS = 12, 26, 18, 128
+BAND_BITS, BANDS, FAR_BITS, BINS = 10, 26, 18, 128
 
 
 def sketched(text: bytes, words: int, seed: int = SEED) -> tuple[int, bytes]:
@@ -220,8 +220,8 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
     Such texts differ in more bits than blocks can hold apart, so fingerprints
     meet on BANDS random choices of BAND_BITS bits; pairs within FAR_BITS that
     the Gray-order index finds there are checked by sketches of their shingles.
-    A pair at similarity 0.8 (one bit in six differs) meets in one band at least
-    with probability 0.95, at 0.9 with 0.999."""
+    A pair that differs in one bit of six (similarity 0.8) meets in one band at least
+    with probability 0.99."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def each(batches):
