@@ -1,4 +1,4 @@
-"""Sketch parameters.  Defaults are those of the reference engine's CPU build."""
+"""Sketch parameters."""
 
 from __future__ import annotations
 
