@@ -19,6 +19,9 @@ Weights: given by name, or each source's row count to the power ``alpha``
 without a given weight gets the smallest given one.  Weights are rounded to
 ``1 / period`` by largest remainder, at least one unit for each source.
 
+The plan of a period is one row's work, period times sources squared steps at most,
+so it is meant for sources in the hundreds or thousands, whatever their rows.
+
 Null sources form a source of their own, named '' like an empty one; null ids
 sort as ''.  Repeated rows are separate rows.  An empty table gives an empty
 result.  Extra columns are ignored by ``mix`` and kept by ``mixed``.
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 PERIOD, BLOCK_ROWS, ALPHA = 1000, 32, 0.7
-#: Per-source tables are broadcast up to so many sources.
-BROADCAST_SOURCES = 10_000
+#: Per-source tables (256 offsets a source) are broadcast up to so many sources.
+BROADCAST_SOURCES = 1000
 
 #: One period of earliest-deadline-first over the array ``units``: the place of the source served in each slot.
 EDF = """
