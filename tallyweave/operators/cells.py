@@ -35,9 +35,12 @@ def apply_deltas(cells: DataFrame, deltas: DataFrame, value: str = "value") -> D
     return merged_sum(cells, deltas.select(*keys, value), value=value)
 
 
-def looked_up(keys: DataFrame, cells: DataFrame, row: int, pos: str, by: tuple = (), value: str = "value") -> DataFrame:
-    """``keys`` with the value of the cell at (by..., row, pos), 0 if there is
-    none.  A sketch row has ``length`` cells, at most 65536 by default (times
-    the levels), so it is broadcast."""
-    side = cells.where(F.col("row") == row).select(*by, F.col("pos").alias(pos), F.col(value).alias(f"_v{row}"))
-    return keys.join(F.broadcast(side), [*by, pos], "left").withColumn(f"_v{row}", F.coalesce(f"_v{row}", F.lit(0).cast("long"))).drop(pos)
+def looked_up(keys: DataFrame, cells: DataFrame, structs: list[Column], keep: tuple, value: str = "value") -> DataFrame:
+    """(keep..., the structs' fields, the cell's value): each key beside its
+    cells.  ``structs`` give (row, pos, ...) and ``keep`` the key, with its level
+    if cells have one.  The cells are built and broadcast once; a sketch row has
+    ``length`` of them, at most 65536 by default (times the levels), whatever
+    the data.  Keys stay where they are, so a later aggregation by key does not
+    shuffle them again."""
+    on = [c for c in ("level", "row", "pos") if c in cells.columns]
+    return exploded(keys, structs, *keep).join(F.broadcast(cells.select(*on, value)), on, "left")

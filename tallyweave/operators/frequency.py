@@ -12,10 +12,13 @@ from .cells import exploded, looked_up
 from .topk import top_k
 
 
+def _cm_structs(cfg: SketchConfig) -> list:
+    return [F.struct(F.lit(r).alias("row"), (F.col(f"h{r}") % cfg.length).cast("int").alias("pos")) for r in range(cfg.rows)]
+
+
 def cm_items(df: DataFrame, cfg: SketchConfig = CM, keep: tuple = ()) -> DataFrame:
     """(row, pos) of each item, one row a sketch row."""
-    h = hash_key(df.select("key", *keep), "key", {f"h{r}": r for r in range(cfg.rows)})
-    return exploded(h, [F.struct(F.lit(r).alias("row"), (F.col(f"h{r}") % cfg.length).cast("int").alias("pos")) for r in range(cfg.rows)], *keep)
+    return exploded(hash_key(df.select("key", *keep), "key", {f"h{r}": r for r in range(cfg.rows)}), _cm_structs(cfg), *keep)
 
 
 def cm_build(df: DataFrame, cfg: SketchConfig = CM, by: tuple = ()) -> DataFrame:
@@ -26,10 +29,7 @@ def cm_build(df: DataFrame, cfg: SketchConfig = CM, by: tuple = ()) -> DataFrame
 def cm_query(cells: DataFrame, keys: DataFrame, cfg: SketchConfig = CM) -> DataFrame:
     """(key, est): the least of a key's cells.  ``keys``: distinct candidates."""
     h = hash_key(keys.select("key"), "key", {f"h{r}": r for r in range(cfg.rows)})
-    h = h.select("key", *[(F.col(f"h{r}") % cfg.length).cast("int").alias(f"p{r}") for r in range(cfg.rows)])
-    for r in range(cfg.rows):
-        h = looked_up(h, cells, r, f"p{r}")
-    return h.select("key", F.least(*[f"_v{r}" for r in range(cfg.rows)]).cast("int").alias("est"))
+    return looked_up(h, cells, _cm_structs(cfg), ("key",)).groupBy("key").agg(F.min(F.coalesce("value", F.lit(0))).cast("int").alias("est"))
 
 
 def _signed(df: DataFrame, cfg: SketchConfig, keep: tuple) -> DataFrame:
@@ -40,10 +40,13 @@ def _signed(df: DataFrame, cfg: SketchConfig, keep: tuple) -> DataFrame:
     return hash_key(df.select("key", *keep), "key", {f"h{r}": r for r in range(cfg.rows)})
 
 
+def _count_structs(cfg: SketchConfig) -> list:
+    return [F.struct(F.lit(r).alias("row"), (F.shiftright(f"h{r}", 1) % cfg.length).cast("int").alias("pos"), (1 - 2 * (F.col(f"h{r}") % 2)).cast("int").alias("sign")) for r in range(cfg.rows)]
+
+
 def count_items(df: DataFrame, cfg: SketchConfig = COUNT, keep: tuple = ()) -> DataFrame:
     """(row, pos, sign) of each item; signs follow the hash's lowest bit."""
-    structs = [F.struct(F.lit(r).alias("row"), (F.shiftright(f"h{r}", 1) % cfg.length).cast("int").alias("pos"), (1 - 2 * (F.col(f"h{r}") % 2)).cast("int").alias("sign")) for r in range(cfg.rows)]
-    return exploded(_signed(df, cfg, keep), structs, *keep)
+    return exploded(_signed(df, cfg, keep), _count_structs(cfg), *keep)
 
 
 def count_build(df: DataFrame, cfg: SketchConfig = COUNT, by: tuple = ()) -> DataFrame:
@@ -53,11 +56,10 @@ def count_build(df: DataFrame, cfg: SketchConfig = COUNT, by: tuple = ()) -> Dat
 
 def count_query(cells: DataFrame, keys: DataFrame, cfg: SketchConfig = COUNT, by: tuple = ()) -> DataFrame:
     """(key, est): the median of a key's signed cells.  ``by``: level, where cells and keys have one."""
-    h = _signed(keys, cfg, by)
-    h = h.select("key", *by, *[x for r in range(3) for x in ((F.shiftright(f"h{r}", 1) % cfg.length).cast("int").alias(f"p{r}"), (1 - 2 * (F.col(f"h{r}") % 2)).alias(f"s{r}"))])
-    for r in range(3):
-        h = looked_up(h, cells, r, f"p{r}", by)
-    return h.select("key", *by, median3(*[F.col(f"_v{r}") * F.col(f"s{r}") for r in range(3)]).cast("int").alias("est"))
+    found = looked_up(_signed(keys, cfg, by), cells, _count_structs(cfg), ("key", *by))
+    signed = F.coalesce(F.col("value") * F.col("sign"), F.lit(0))
+    rows = found.groupBy("key", *by).agg(*[F.max(F.when(F.col("row") == r, signed)).alias(f"v{r}") for r in range(3)])
+    return rows.select("key", *by, median3(*[F.col(f"v{r}") for r in range(3)]).cast("int").alias("est"))
 
 
 def with_levels(df: DataFrame, cfg: SketchConfig = UNIVMON) -> DataFrame:

@@ -6,13 +6,13 @@ median over rows of its cell's estimate less the row's mean noise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SPREAD, SketchConfig
 from ..functions.hashing import with_hashes, words
 from ..functions.scalars import int32, median3, rank
-from .cells import exploded
+from .cells import exploded, looked_up
 from .topk import top_k
 
 CAP, REGISTERS_IN_CELL, SCALE = 15, 16, 0.673 * 256
@@ -37,17 +37,15 @@ def cell_estimates(cells: DataFrame, base: int = 0) -> DataFrame:
 
 def spread_query(cells: DataFrame, sources: DataFrame, cfg: SketchConfig = SPREAD, base: int = 0) -> DataFrame:
     """(key, est) of the candidate sources ``key``."""
-    e = cell_estimates(cells, base)
     empty = SCALE / (REGISTERS_IN_CELL * 2.0**-base)
-    noise = e.groupBy("row").agg((F.sum("e") + (F.lit(cfg.length) - F.count("*")) * F.lit(empty)).alias("total"))
-    e = e.join(F.broadcast(noise), "row").select("row", "pos", (F.col("e") - (F.col("total") - F.col("e")) / F.lit(cfg.length - 1.0)).alias("e"))
+    row = Window.partitionBy("row")  # of at most ``length`` cells
+    total = F.sum("e").over(row) + (F.lit(cfg.length) - F.count("*").over(row)) * F.lit(empty)
+    e = cell_estimates(cells, base).withColumn("total", total).select("row", "pos", (F.col("e") - (F.col("total") - F.col("e")) / F.lit(cfg.length - 1.0)).alias("e"))
     h = with_hashes(sources.select("key"), {f"s{r}": (words("key", 4), r) for r in range(cfg.rows)})
-    h = h.select("key", *[(F.col(f"s{r}") % cfg.length).cast("int").alias(f"p{r}") for r in range(cfg.rows)])
-    for r in range(3):  # a row's cells are at most ``length``
-        h = h.join(F.broadcast(e.where(F.col("row") == r).select(F.col("pos").alias(f"p{r}"), F.col("e").alias(f"e{r}"))), f"p{r}", "left")
+    structs = [F.struct(F.lit(r).alias("row"), (F.col(f"s{r}") % cfg.length).cast("int").alias("pos")) for r in range(cfg.rows)]
+    found = looked_up(h, e, structs, ("key",), "e").groupBy("key").agg(*[F.max(F.when(F.col("row") == r, F.coalesce("e", F.lit(0.0)))).alias(f"e{r}") for r in range(3)])
     # Rounded first: the noise is a sum of doubles whose order varies.
-    missing = [F.coalesce(f"e{r}", F.lit(0.0)) for r in range(3)]
-    return h.select("key", int32(F.round(median3(*missing), 6)).alias("est"))
+    return found.select("key", int32(F.round(median3(*[F.col(f"e{r}") for r in range(3)]), 6)).alias("est"))
 
 
 def spread_topk(df: DataFrame, cfg: SketchConfig = SPREAD) -> DataFrame:
