@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -45,6 +46,18 @@ def dropped(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Plans made inside hand at most ``rows`` rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Have Spark's cleaner remove the shuffle files of steps whose results are
     written.  It follows the driver's garbage collection: the first round frees

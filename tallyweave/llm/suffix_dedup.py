@@ -38,13 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, table, written
+from .common import batch_rows, release_shuffles, table, written
 from .induced import suffix_order
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text hashed at once; of text whose anchors are packed together; of contexts in a shard; contexts
-#: of a gram beyond which it is divided; contexts sent in a batch.
-BLOCK, PACKED, SHARD, MANY, SENT = 1 << 19, 4 << 20, 1 << 19, 10_000, 8192
+#: of a gram beyond which it is divided; contexts sent in a batch; rows handed to Python at once.
+BLOCK, PACKED, SHARD, MANY, SENT, ROWS = 1 << 19, 4 << 20, 1 << 19, 10_000, 8192, 1000
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -414,11 +414,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     sent = docs.select("key", rank.alias("id"), "text").mapInArrow(_frugal(_send(max(64, 4 * partitions), length, gram)), _SENT_SCHEMA)
     spread = F.when(F.col("bucket") == -1, F.xxhash64("first")).otherwise(F.xxhash64("bucket"))
     met = sent.repartition(partitions, spread).sortWithinPartitions("bucket").mapInArrow(_frugal(_meet), "kind int, key long, id long, gram long, places array<long>")
-    met = written(met, "repeats-met")
+    with batch_rows(spark, ROWS):
+        met = written(met, "repeats-met")
     release_shuffles(spark)
     asked = met.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("kind", "id", "gram", "places")).alias("asks"))
     contexts = docs.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(_frugal(_fetch(length, gram)), "route long, id long, key long, context binary, places array<long>")
-    windows = written(contexts.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_frugal(_sort_shard(length)), "key long, begins array<long>"), "repeats-windows")
+    windows = contexts.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_frugal(_sort_shard(length)), "key long, begins array<long>")
+    with batch_rows(spark, ROWS):
+        windows = written(windows, "repeats-windows")
     release_shuffles(spark)
     spans = met.where("kind = 0").select("key", "places", F.lit(None).cast("array<long>").alias("begins")).unionByName(windows.select("key", F.lit(None).cast("array<long>").alias("places"), "begins"))
     spans = spans.groupBy("key").agg(F.collect_list("places").alias("places"), F.collect_list("begins").alias("begins"))
