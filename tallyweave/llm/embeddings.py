@@ -2,9 +2,12 @@
 
 Equal vectors are first made one with a weight.  Each tree splits the space
 again and again by a random direction at its median; rows near a split go to
-both sides (spill), so that near pairs seldom part; several trees make up for
-those that do.  Vectors that share a leaf are compared by cosine in double
-precision, and links are counted and united.
+both sides (spill: a share of the rows, and at least a share of the distance of
+a pair that just links), so that near pairs seldom part; several trees make up
+for those that do.  A node most of whose pairs link, or nearly so, is split no
+further: its pairs differ by noise alone, and every split would part some.
+Vectors that share a leaf are compared by cosine in double precision, and links
+are counted and united.
 
 Each vector carries the leaves it falls in, so a pair that meets in several
 leaves is counted in the first of them alone and no pairs travel: a task
@@ -35,36 +38,58 @@ from .graph import connected_components, local_components
 LEAST = 0.9
 #: Vectors the trees are fitted on; rows aimed at in a leaf; least sampled rows in a leaf; trees; share of rows on each side of a split that spills.
 SAMPLE, LEAF, SAMPLED_LEAF, TREES, SPILL = 50_000, 384, 32, 4, 0.08
-#: Rows of a leaf that one task takes; most parts of a fuller leaf; pairs handled at once.
+#: Half of a spill's least width, in standard deviations of the projected distance of a pair that just links.
+MARGIN = 0.5
+#: A node is left whole where this share of the pairs of so many sampled rows has a cosine of ``least`` minus NEAR or more.
+WHOLE, PROBES, NEAR = 0.2, 128, 0.05
+#: Rows of a leaf that one task takes; most parts of a fuller leaf; links of a block that are handled one by one.
 PART, MOST_PARTS, PAIRS = 1024, 64, 1 << 15
 SEED = 20
 
 
 class Tree:
-    """Nodes in heap order: directions, and the bounds between which rows spill."""
+    """Nodes in heap order: directions, the bounds between which rows spill, and whether the node is left whole."""
 
-    def __init__(self, x: np.ndarray, depth: int, rng: np.random.Generator):
+    def __init__(self, x: np.ndarray, depth: int, rng: np.random.Generator, least: float = LEAST):
         self.depth = depth
         self.directions = rng.standard_normal((2**depth - 1, x.shape[1]))
+        self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
         self.low, self.high = np.zeros(2**depth - 1), np.zeros(2**depth - 1)
+        self.whole = np.zeros(2**depth - 1, bool)
+        margin = MARGIN * np.sqrt(max(0, 2 - 2 * least) / x.shape[1])
         held = {0: np.arange(len(x))}
         for node in range(2**depth - 1):
+            if node not in held:  # below a node left whole
+                continue
             rows = held.pop(node)
+            if self._dense(x[rows[:PROBES]], least):
+                self.whole[node] = True
+                continue
             p = x[rows] @ self.directions[node]
-            cut, self.low[node], self.high[node] = np.quantile(p, (0.5, 0.5 - SPILL, 0.5 + SPILL)) if len(p) else (0, 0, 0)
+            cut, low, high = np.quantile(p, (0.5, 0.5 - SPILL, 0.5 + SPILL)) if len(p) else (0, 0, 0)
+            self.low[node], self.high[node] = min(low, cut - margin), max(high, cut + margin)
             held[2 * node + 1], held[2 * node + 2] = rows[p < cut], rows[p >= cut]
 
+    @staticmethod
+    def _dense(probe: np.ndarray, least: float) -> bool:
+        n = len(probe)
+        return n > 3 and (probe @ probe.T >= least - NEAR).sum() - n >= WHOLE * n * (n - 1)
+
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of each row of ``x``, once for each leaf it falls in."""
+        """(row, leaf) of each row of ``x``, once for each leaf it falls in; a leaf is its node's number."""
         rows, nodes = np.arange(len(x)), np.zeros(len(x), np.int64)
+        ended = []
         for _ in range(self.depth):
+            whole = self.whole[nodes]
+            ended.append((rows[whole], nodes[whole]))
+            rows, nodes = rows[~whole], nodes[~whole]
             p = np.empty(len(rows))
             for i in range(0, len(rows), 1 << 14):
                 p[i : i + (1 << 14)] = np.einsum("ij,ij->i", x[rows[i : i + (1 << 14)]], self.directions[nodes[i : i + (1 << 14)]])
             left, right = p <= self.high[nodes], p >= self.low[nodes]
-            left |= ~right
             rows, nodes = np.concatenate((rows[left], rows[right])), np.concatenate((2 * nodes[left] + 1, 2 * nodes[right] + 2))
-        return rows, nodes - (2**self.depth - 1)
+        ended.append((rows, nodes))
+        return tuple(np.concatenate(y) for y in zip(*ended, strict=True))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -83,15 +108,31 @@ def leaf_links(x: np.ndarray, weight: np.ndarray, part: np.ndarray, leaves: np.n
     n = len(x)
     counts, labels = np.zeros(n, np.int64), np.arange(n)
     earlier = np.where(leaves < leaf, leaves, -1)
+    # Leaves met before this one that two rows or more share, as columns of a matrix.
+    ids, held = np.unique(earlier[earlier >= 0], return_counts=True)
+    ids = ids[held > 1]
+    shared = None
     step = max(1, (1 << 20) // max(n, 1))
     for s in range(0, n, step):
-        i, j = np.nonzero(x[s : s + step] @ x[s:].T >= least)
-        i, j = i + s, j + s
-        keep = (i < j) & ((part[i] != part[j]) if across else True)
-        i, j = i[keep], j[keep]
-        labels = local_components(n, i, j, labels)
-        for k in range(0, len(i), PAIRS):
-            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+        near = x[s : s + step] @ x[s:].T >= least
+        near &= np.arange(s, n) > np.arange(s, min(n, s + step))[:, None]
+        if across:
+            near &= part[s : s + step, None] != part[s:]
+        i, j = np.nonzero(near & (labels[s : s + step, None] != labels[s:]))
+        labels = local_components(n, i + s, j + s, labels)
+        some = np.count_nonzero(near)
+        if some > PAIRS:
+            if len(ids):
+                if shared is None:
+                    shared = np.zeros((n, len(ids)), np.float32)
+                    r, c = np.nonzero(np.isin(earlier, ids))
+                    shared[r, np.searchsorted(ids, earlier[r, c])] = 1
+                near &= shared[s : s + step] @ shared[s:].T == 0
+            counts[s : s + step] += near @ weight[s:]
+            counts[s:] += weight[s : s + step] @ near
+        elif some:
+            i, j = np.nonzero(near)
+            a, b = i + s, j + s
             met = np.zeros(len(a), bool)
             for c in range(earlier.shape[1]):
                 own = earlier[a, c]
@@ -110,14 +151,14 @@ def _links(vectors: DataFrame, dim: int, least: float) -> DataFrame:
     x = _unit(np.array(sample["v"].tolist()))
     depth = max(0, int(np.ceil(np.log2(max(1, min(n / LEAF, len(x) / SAMPLED_LEAF))))))
     rng = np.random.default_rng(SEED)
-    forest = vectors.sparkSession.sparkContext.broadcast([Tree(x, depth, rng) for _ in range(TREES)])
+    forest = vectors.sparkSession.sparkContext.broadcast([Tree(x, depth, rng, least) for _ in range(TREES)])
 
     def fall(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             u = _unit(_matrix(b.column(1)))
-            found = [(r, k + t * 2**depth) for t, tree in enumerate(forest.value) for r, k in (tree.leaves(u),)]
+            found = [(r, k + t * 2 ** (depth + 1)) for t, tree in enumerate(forest.value) for r, k in (tree.leaves(u),)]
             rows, leaf = (np.concatenate(y) for y in zip(*found, strict=True))
             order = np.lexsort((leaf, rows))
             rows, leaf = rows[order], leaf[order]
@@ -127,7 +168,7 @@ def _links(vectors: DataFrame, dim: int, least: float) -> DataFrame:
     kind = vectors.schema["v"].dataType.simpleString()
     fallen = written(vectors.select("node", "v", "weight").mapInArrow(fall, f"node long, v {kind}, weight long, leaves array<int>"), "leaves")
     sizes = fallen.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    # At most TREES * 2^depth leaves, bounded by the sample.
+    # Fewer than TREES * 2^(depth + 1) leaves, bounded by the sample.
     parts = sizes.select("leaf", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART)).cast("int").alias("parts"))
     met = fallen.withColumn("leaf", F.explode("leaves")).join(F.broadcast(parts), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -77,6 +77,47 @@ def test_recall_against_brute_force(spark, monkeypatch, part):
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in got)
 
 
+@pytest.mark.parametrize("depth", [7, 11])
+@pytest.mark.parametrize("cosine", [0.905, 0.93])
+def test_recall_in_a_dense_group(depth, cosine):
+    rng = np.random.default_rng(depth)
+    n, dim = 16 * 2**depth, 64
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, dim)))
+    hot = rng.permutation(n)[: n // 3]
+    x[hot] = unit(x[hot[:1]] + np.sqrt(1 / cosine - 1) * unit(rng.standard_normal((len(hot), dim))))
+    a, b = rng.choice(hot, (2, 20_000))
+    linked = (a != b) & ((x[a] * x[b]).sum(1) >= 0.9)
+    a, b = a[linked], b[linked]
+    met = np.zeros(len(a), bool)
+    for _ in range(embeddings.TREES):
+        rows, leaf = embeddings.Tree(x, depth, rng).leaves(x)
+        assert len(rows) < 12 * n
+        ends = np.searchsorted(np.sort(rows), np.arange(n + 1))
+        ordered = leaf[np.argsort(rows, kind="stable")]
+        width = np.diff(ends).max()
+        lists = np.full((n, width), -1)
+        lists[np.repeat(np.arange(n), np.diff(ends)), np.arange(len(rows)) - np.repeat(ends[:-1], np.diff(ends))] = ordered
+        for c in range(width):
+            met |= (lists[a, c] >= 0) & (lists[b] == lists[a, c][:, None]).any(axis=1)
+    assert met.mean() >= 0.9
+
+
+def test_links_of_a_dense_leaf(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = embeddings._unit(rng.standard_normal(16) + 0.3 * rng.standard_normal((300, 16)))
+    weight, part = rng.integers(1, 4, 300), rng.integers(0, 2, 300)
+    leaves = np.sort(rng.integers(-1, 9, (300, 3)), axis=1)
+    for across in (False, True):
+        pair = (x @ x.T >= 0.9) & ~np.eye(300, dtype=bool) & ((part[:, None] != part) | (not across))
+        before = ((leaves[:, None, :, None] == leaves[None, :, None, :]) & (leaves[:, None, :, None] >= 0) & (leaves[:, None, :, None] < 5)).any((2, 3))
+        for pairs in (0, 1 << 15):
+            monkeypatch.setattr(embeddings, "PAIRS", pairs)
+            counts, labels = embeddings.leaf_links(x, weight, part, leaves, 5, across, 0.9)
+            assert (counts == (pair & ~before) @ weight).all()
+            assert (labels == embeddings.local_components(300, *np.nonzero(pair))).all()
+
+
 def test_vectors_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, inf]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0]), (2, [2.0, 0.01]), (None, [1.0, 0.0]), (10, [0.0, 0.0])]
