@@ -187,19 +187,20 @@ BAND_BITS, BANDS, FAR_BITS, BINS = 10, 26, 18, 128
 
 
 def sketched(text: bytes, words: int, seed: int = SEED) -> tuple[int, bytes]:
-    """The fingerprint, and a sketch of the set of shingles: in each of BINS
-    ranges of hashes the least one, as a byte (0: none)."""
+    """The fingerprint of the set of shingles (repeats count once, as in its
+    similarity), and a sketch of the set: in each of BINS ranges of hashes the
+    least one, as a byte (0: none)."""
     from xxhash import xxh64_intdigest
 
     w = text.lower().split()
     if not w:
         return 0, bytes(BINS)
     shingles = [xxh64_intdigest(b" ".join(w[i : i + words]), seed) for i in range(max(1, len(w) - words + 1))]
-    h = np.array(shingles, ">u8")
+    h = np.unique(np.array(shingles, np.uint64)).astype(">u8")
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    h = np.sort(h.astype(np.uint64))
+    h = h.astype(np.uint64)
     bins = (h >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
     sketch = np.zeros(BINS, np.uint8)

@@ -224,6 +224,18 @@ def test_similar_texts_share_a_group(spark, docs):
     assert len(ids) == len(set(ids)) and simhash.deduplicated(docs.where("false")).count() == 0
 
 
+def test_repeated_lines_do_not_part_equal_sets(spark):
+    rng = random.Random(5)
+    line = " ".join(f"b{i}" for i in range(12))
+    rows = []
+    for f in range(60):
+        text = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(300))
+        rows += [(2 * f, f"{text} {line} {line}"), (2 * f + 1, " ".join([text] + [line] * (10, 20, 40)[f % 3]))]
+    assert all(jaccard(rows[k][1], rows[k + 1][1]) == 1 for k in range(0, 120, 2))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * f + 1] == got[2 * f] for f in range(60))
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
