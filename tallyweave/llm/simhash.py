@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import batch_rows, dropped, release_shuffles, table, written
 from .graph import connected_components, local_components
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -184,23 +184,27 @@ def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
 
 #: Similarity search: bits of a band, bands, most differing bits of a pair looked at, bins of a sketch.
 BAND_BITS, BANDS, FAR_BITS, BINS = 10, 26, 18, 128
+#: Bytes of shingle sets in a part of a group of candidates; pairs whose sketches are compared at once.
+PART_BYTES, ROWS_AT_ONCE = 32 << 20, 1 << 14
 
 
-def sketched(text: bytes, words: int, seed: int = SEED) -> tuple[int, bytes]:
-    """The fingerprint of the set of shingles (repeats count once, as in its
-    similarity), and a sketch of the set: in each of BINS ranges of hashes the
-    least one, as a byte (0: none)."""
+def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The sorted hashes of the text's shingles, each once."""
     from xxhash import xxh64_intdigest
 
     w = text.lower().split()
-    if not w:
+    return np.unique(np.array([xxh64_intdigest(b" ".join(w[i : i + words]), seed) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64))
+
+
+def sketched(h: np.ndarray) -> tuple[int, bytes]:
+    """The fingerprint of a set of shingles (repeats count once, as in its
+    similarity), and a sketch of the set: in each of BINS ranges of hashes the
+    least one, as a byte (0: none)."""
+    if not len(h):
         return 0, bytes(BINS)
-    shingles = [xxh64_intdigest(b" ".join(w[i : i + words]), seed) for i in range(max(1, len(w) - words + 1))]
-    h = np.unique(np.array(shingles, np.uint64)).astype(">u8")
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
-        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    h = h.astype(np.uint64)
+        counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     bins = (h >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
     sketch = np.zeros(BINS, np.uint8)
@@ -214,26 +218,109 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
 
 
+def loose(least: float) -> float:
+    """An estimate that a pair of similarity ``least`` misses by chance alone hardly ever: four standard errors below."""
+    return max(0.0, least - 4 * (least * (1 - least) / BINS) ** 0.5)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(a):
+        return float(not len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    common = int(np.count_nonzero(b[at] == a))
+    return common / (len(a) + len(b) - common)
+
+
+def exact_labels(sets: list[np.ndarray], sketch: np.ndarray, part: np.ndarray, across: bool, least: float) -> np.ndarray:
+    """Labels that the pairs of similarity ``least`` or more join, each pair
+    joined by the sets themselves.  Pairs that are joined already are passed
+    over.  ``across``: only pairs of different parts."""
+    n = len(sets)
+    labels, sizes, enough = np.arange(n), np.array([len(x) for x in sets]), loose(least)
+    for i in range(n - 1):
+        far = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+        if across:
+            far = far[part[far] != part[i]]
+        small, large = np.minimum(sizes[far], sizes[i]), np.maximum(sizes[far], sizes[i])
+        far = far[small >= least * large * (1 - 1e-9)]  # no other sizes can be as similar
+        for s in range(0, len(far), ROWS_AT_ONCE):
+            some = far[s : s + ROWS_AT_ONCE]
+            estimate = similarity(sketch[i][None], sketch[some])
+            likely = np.flatnonzero(estimate >= enough)
+            for j in some[likely[np.argsort(-estimate[likely], kind="stable")]].tolist():
+                if labels[i] != labels[j] and jaccard(sets[i], sets[j]) >= least:
+                    x, y = sorted((labels[i], labels[j]))
+                    labels[labels == y] = x
+    return labels
+
+
+def _verified(candidates: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between nodes of one group of candidates that their sets
+    of shingles bear out.  ``candidates``: component, node, sketch, shingles."""
+    sizes = candidates.groupBy("component").agg(F.sum(F.length("shingles").cast("long") + BINS).alias("n")).where(F.col("n") > PART_BYTES)
+    parts = sizes.select("component", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_BYTES)).cast("int").alias("parts"))
+    met = candidates.join(parts, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "sketch", "shingles")
+
+    def join(batches):
+        held: list[tuple] = []
+        held_key = None
+
+        def done():
+            if len(held) > 1:
+                node = np.array([x[1] for x in held])
+                sketch = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, BINS)
+                labels = exact_labels([np.frombuffer(x[3], np.uint64) for x in held], sketch, np.array([x[0] for x in held]), held_key[1] != held_key[2], least)
+                linked = np.flatnonzero(labels != np.arange(len(held)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
+
+        for b in batches:
+            columns = [b.column(i) for i in range(7)]
+            for key, row in zip(zip(*(c.to_pylist() for c in columns[:3]), strict=True), zip(*(c.to_pylist() for c in columns[3:]), strict=True), strict=True):
+                if key != held_key:
+                    yield from done()
+                    held, held_key = [], key
+                held.append(row)
+        yield from done()
+
+    return met.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(join, "a long, b long")
+
+
 def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: groups of texts that links of Jaccard similarity
-    ``least`` or more between their sets of shingles join.
+    ``least`` or more between their sets of shingles join."""
+    rows = written(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row")), "rows")
+    labels = _labelled(rows, words, least)
+    least_id = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return labels.join(least_id, "label").select("doc_id", "component_id")
 
-    Such texts differ in more bits than blocks can hold apart, so fingerprints
-    meet on BANDS random choices of BAND_BITS bits; pairs within FAR_BITS that
-    the Gray-order index finds there are checked by sketches of their shingles.
-    A pair that differs in one bit of six (similarity 0.8) meets in one band at least
-    with probability 0.99."""
-    id_type = df.schema[id_col].dataType.simpleString()
+
+def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """doc_id, _row, label: rows of one group have one label.  ``rows``: a
+    written table with doc_id, text and _row, a key of the row.
+
+    Similar texts differ in more bits than blocks can hold apart, so
+    fingerprints meet on BANDS random choices of BAND_BITS bits; pairs within
+    FAR_BITS that the Gray-order index finds there are candidates if sketches
+    of their shingles do not rule them out.  A pair that differs in one bit of
+    six (similarity 0.8) meets in one band at least with probability 0.99.
+    Candidates form groups; within each, pairs are decided by their whole sets."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
+        from xxhash import xxh64_intdigest
+
         for b in batches:
-            texts = pc.fill_null(b.column(1), "").cast(pa.binary())
-            got = [sketched(t.as_py(), words) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([f for f, _ in got], np.uint64).view(np.int64)), pa.array([s for _, s in got], pa.binary())], ["doc_id", "fp", "sketch"])
+            texts = pc.fill_null(b.column(2), "").cast(pa.binary())
+            got = [(*sketched(h), xxh64_intdigest(h.tobytes(), SEED)) for h in (shingle_set(t.as_py(), words) for t in texts)]
+            fps, node = (pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([g[1] for g in got], pa.binary()), node], ["doc_id", "_row", "fp", "sketch", "node"])
 
-    docs = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(each, f"doc_id {id_type}, fp long, sketch binary")
-    docs = written(docs.withColumn("node", F.xxhash64("fp", "sketch")), "sketches")
-    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+    docs = written(rows.select("doc_id", "_row", "text").mapInArrow(each, f"doc_id {id_type}, _row long, fp long, sketch binary, node long"), "sketches")
+    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("_row").alias("_row"))
     rng = np.random.default_rng(SEED)
     chosen = [rng.choice(64, BAND_BITS, replace=False) for _ in range(BANDS)]
 
@@ -255,6 +342,8 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
     met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select(F.xxhash64("value", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "fp", "sketch")
 
+    enough = loose(least)
+
     def shard(keys, node, fp, sketch):
         sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BINS)
         labels = np.arange(len(fp))
@@ -263,7 +352,7 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
                 a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
                 apart = labels[a] != labels[b]
                 a, b = a[apart], b[apart]
-                near = similarity(sketch[a], sketch[b]) >= least
+                near = similarity(sketch[a], sketch[b]) >= enough
                 labels = local_components(len(fp), a[near], b[near], labels)
         linked = np.flatnonzero(labels != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
@@ -288,9 +377,22 @@ def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "do
 
     edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
     groups = connected_components(edges)
-    label = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("label"))
-    least_id = label.groupBy("label").agg(F.min("least").alias("component_id"))
-    return docs.select("doc_id", "node").join(label.select("node", "label").join(least_id, "label"), "node").select("doc_id", "component_id")
+    spark = rows.sparkSession
+    release_shuffles(spark)
+
+    def sets(batches):
+        for b in batches:
+            texts = pc.fill_null(b.column(3), "").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())], ["component", "node", "sketch", "shingles"])
+
+    # A node stands for one set of shingles; its first row has the text.
+    with batch_rows(spark, 1000):
+        texts = rows.join(nodes.join(groups, "node").select("component", "node", "sketch", "_row"), "_row").select("component", "node", "sketch", "text")
+        candidates = written(texts.mapInArrow(sets, "component long, node long, sketch binary, shingles binary"), "candidates")
+        links = written(_verified(candidates, least), "verified")
+    dropped(candidates)
+    groups = connected_components(links)
+    return docs.join(groups, "node", "left").select("doc_id", "_row", F.coalesce("component", "node").alias("label"))
 
 
 def deduplicated(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

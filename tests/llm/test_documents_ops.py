@@ -236,6 +236,28 @@ def test_repeated_lines_do_not_part_equal_sets(spark):
     assert all(got[2 * f + 1] == got[2 * f] for f in range(60))
 
 
+@pytest.mark.parametrize("part", [32 << 20, 9000])
+def test_groups_are_decided_exactly(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_BYTES", part)
+    rng = random.Random(7)
+    rows, links = [], []
+    for f in range(160):
+        words = [f"w{rng.randint(0, 9000)}" for _ in range(600)]
+        rows.append((10 * f, " ".join(words)))
+        for c in range(1, 3):
+            w = list(words)
+            for i in rng.sample(range(0, 600, 5), 12 + 2 * (f % 3) + c):
+                w[i] = f"n{rng.randint(0, 10**6)}"
+            rows.append((10 * f + c, " ".join(w)))
+        of = rows[-3:]
+        links += [(a[0], b[0], jaccard(a[1], b[1])) for k, a in enumerate(of) for b in of[:k]]
+    assert sum(0.8 <= j <= 0.82 for _, _, j in links) > 20 and sum(0.74 <= j < 0.8 for _, _, j in links) > 20
+    want = components([i for i, _ in rows], [(a, b) for a, b, j in links if j >= 0.8])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apart, joined = (sum(k) for k in zip(*((want[a] == want[b] and got[a] != got[b], want[a] != want[b] and got[a] == got[b]) for a, b, _ in links)))
+    assert joined == 0 and apart <= 0.02 * len(links)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
