@@ -120,8 +120,9 @@ class GrayIndex:
         todo = [(len(self.levels) - 1, np.arange(n), np.arange(n))]
         while todo:
             level, a, b = todo.pop()
-            if len(a) > FRONTIER:
-                todo += [(level, a[i : i + FRONTIER], b[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
+            most = max(1, FRONTIER // FANOUT**2) if level else FRONTIER  # a pair of nodes has so many pairs of children
+            if len(a) > most:
+                todo += [(level, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
                 continue
             if level == 0:
                 yield self.order[a], self.order[b]
@@ -397,12 +398,16 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
 
 def deduplicated(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group that ``similar`` finds, with the columns of
-    ``df``: a row of the group's least id.  Of rows with that id, one; rows
-    whose group has null ids only keep one as well."""
-    stay = similar(df, words, least, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    repeats = df.groupBy(id_col).count().agg(F.max("count")).first()[0]
-    out = df.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    return out if repeats is None or repeats == 1 else out.dropDuplicates([id_col])
+    ``df``: a row of the group's least id, null ids last.  Rows of different
+    groups stay each, also where they repeat an id or have none."""
+    key = "_row"
+    while key in df.columns:
+        key = f"_{key}"
+    rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
+    labels = _labelled(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("_row")), words, least)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = labels.groupBy("label").agg(first.alias("first")).select(F.col("first._row").alias(key))
+    return rows.join(stay, key, "left_semi").select(*df.columns)
 
 
 def op7_simhash(spark, sf_dir):

@@ -258,6 +258,20 @@ def test_groups_are_decided_exactly(spark, monkeypatch, part):
     assert joined == 0 and apart <= 0.02 * len(links)
 
 
+def test_rows_without_a_copy_stay_whatever_their_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 9000)}" for _ in range(60)) for _ in range(12)]
+    ids = [None] * 5 + [7] * 4 + [1, 2, 3]
+    rows = [(i, t, f"row{k}") for k, (i, t) in enumerate(zip(ids, texts))] + [(None, texts[9], "copy"), (0, texts[10], "least"), (7, texts[5], "copy"), (None, texts[0], "copy")]
+    for row in ("_row", "other"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {row} string")
+        got = simhash.deduplicated(df)
+        assert got.columns == df.columns
+        kept = got.collect()
+        assert sorted(r["text"] for r in kept) == sorted(texts)
+        assert {r["text"]: r["doc_id"] for r in kept} == {t: 0 if k == 10 else i for k, (i, t) in enumerate(zip(ids, texts))}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
