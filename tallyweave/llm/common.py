@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, or one like it that no column of ``df`` has (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
@@ -66,3 +75,15 @@ def release_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(1)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit values, byte by byte: planes of zeros compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(b: bytes, width: int) -> np.ndarray:
+    p = np.frombuffer(b, np.uint8).reshape(width, -1)
+    out = np.zeros((p.shape[1], 8), np.uint8)
+    out[:, :width] = p.T
+    return out.view(np.uint64).ravel()

@@ -1,236 +1,379 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: every block of documents has postings
-(term -> sorted word positions) of its own, for the terms that test items use.
-A test phrase starts from the postings of its rarest term in that block, moved
-by the term's offset, and is intersected with the others in order of rarity;
-what is left are exact occurrences.  ``near`` gives proximity matches the same
-way.  No postings are shuffled, and a frequent term's list is spread over the
-blocks that hold it.
+``index`` cuts the words of a corpus in segments of whole documents and stores
+each segment's postings: every term, byte for byte, with the ascending
+positions at which it stands.  Segments are rows of a table in the shared
+folder, so the index is spread by document, a frequent term's list over all
+segments that hold it, and a corpus is cut in words once for any number of
+searches.
+
+A search takes test phrases to the segments.  In a segment a phrase starts from
+the postings of its rarest term there, moved by the term's offset; that list is
+intersected with those of its other terms, moved by theirs, in order of rarity;
+what is left are exact occurrences (``phrase_matches``).  ``near_matches`` gives
+the places where all words of a phrase stand near each other.
 
 Words: A-Z lower-cased, runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  A window
 is ``words`` consecutive words of an item; a shorter item is one window; an
 item without words matches nothing.
 
-Test items are compiled and broadcast in blocks of at most ``block_bytes`` of
-text (one block in all usual cases); with more blocks, every document meets
-each of them and the findings are united.
-
-Null texts have no words.  Null doc ids pass through; items with null ids are
-named 'null'.  Repeated rows, of either table, change nothing but that each
-document row gets its own result.  An empty benchmark finds nothing; an empty
-document table gives an empty result.  Extra columns are ignored, or kept with
-``carry``.
+Test items are collected, compiled and broadcast a block at a time, each of
+about ``block_bytes`` of text at most (a larger item is a block of its own); the
+findings of several blocks are written and united.  Texts beyond SEGMENT bytes
+are indexed in pieces that overlap by ``REACH`` words, which bounds ``words`` and
+``width``; the findings of a text's pieces are united.
+
+Null texts have no words.  Null doc ids pass through; items without an id are
+one item, listed as 'null'.  Repeated rows, of either table, change nothing but
+that each document row gets its own result.  An empty benchmark finds nothing;
+an empty document table gives an empty result.  Extra columns are ignored, and
+kept by ``decontaminated`` whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import batch_rows, dropped, free_name, planes, table, unplanes, written
 
-WINDOW = 10
-#: Bytes of benchmark text in a broadcast block; bytes of documents indexed at once.
-BLOCK_BYTES, INDEX_BYTES = 32 << 20, 2 << 20
+WINDOW, REACH = 10, 256
+#: Bytes of benchmark text in a broadcast block; bytes of text in a segment; windows, and places of their rarest terms, handled at once.
+BLOCK_BYTES, SEGMENT, WINDOWS, PLACES = 8 << 20, 2 << 20, 1 << 14, 1 << 20
+#: Segments handed to Python at once.
+SEGMENT_ROWS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[: 0x30] = _IS_WORD[0x3A:0x61] = _IS_WORD[0x7B:0x80] = False
-_BASE = 0x9E3779B97F4A7C15
 
 
 class Words:
-    """The words of texts: where they are, their hashes, the texts' first words."""
-
-    power = inverse = np.empty(0, np.uint64)
+    """The words of texts: where they begin in all texts joined, the first word
+    of each text (and the number of all), each word's term, and the terms."""
 
     def __init__(self, texts: list[bytes]):
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
         data = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-        word = np.concatenate(([False], _IS_WORD[data], [False]))
-        edges = np.flatnonzero(word[1:] != word[:-1])
-        self.begin, self.end = edges[::2], edges[1::2]
-        firsts = np.concatenate(([0], np.cumsum(lengths)))
-        #: The first word of each text, and the number of all.
-        self.first = np.searchsorted(self.begin, firsts)
-        self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        with np.errstate(over="ignore"):
-            power, inverse = self._tables(len(data) + 1)
-            v = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            v ^= v >> np.uint64(29)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v * power[: len(v)])))
-            h = (total[self.end] - total[self.begin]) * inverse[self.begin]
-            self.hashes = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (self.end - self.begin).astype(np.uint64)
-
-    @classmethod
-    def _tables(cls, n: int):
-        if len(cls.power) < n:
-            cls.power = np.cumprod(np.full(2 * n, _BASE, np.uint64))
-            cls.inverse = np.cumprod(np.full(2 * n, pow(_BASE, -1, 1 << 64), np.uint64))
-        return cls.power, cls.inverse
+        word = _IS_WORD[data]
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        self.begin, end = edges[::2], edges[1::2]
+        self.first = np.searchsorted(self.begin, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+        offsets = np.concatenate(([0], np.cumsum(end - self.begin))).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(offsets), pa.py_buffer(data[word].tobytes())]).dictionary_encode()
+        self.term, self.terms = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def _pieces(text: bytes) -> Iterator[tuple[bytes, int, bool]]:
+    """(piece, words of it that the piece before has too, whether more follow)."""
+    start, end, again = 0, 0, 0
+    while True:
+        end = max(end, start) + SEGMENT
+        while end < len(text) and _IS_WORD[text[end]]:
+            end += 1
+        piece = text[start:end]
+        yield piece, again, end < len(text)
+        if end >= len(text):
+            return
+        begin = Words([piece]).begin
+        again = min(REACH, len(begin))
+        start = start + int(begin[-again]) if again else end
+
+
+#: A segment: its documents' row keys, ids, words, words that an earlier piece has, number of the first word, whether they are in pieces; its postings.
+_SEGMENT = "keys array<long>, ids array<{}>, words array<long>, again array<long>, base array<long>, split array<boolean>, terms array<binary>, counts array<long>, places binary"
+
+
+def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of a corpus."""
+    id_type = df.schema[id_col].dataType
+    arrow = to_arrow_type(id_type)
+
+    def one(x: pa.Array | list, kind: pa.DataType) -> pa.Array:
+        values = x if isinstance(x, pa.Array) else pa.array(x, kind)
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    def segment(docs: list[tuple], ids: pa.Array) -> pa.RecordBatch:
+        found = Words([d[1] for d in docs])
+        order = np.argsort(found.term, kind="stable")
+        counts = np.bincount(found.term, minlength=len(found.terms))
+        steps = np.diff(order, prepend=0)
+        heads = np.cumsum(counts) - counts
+        steps[heads] = order[heads]
+        keys, _, again, base, split = zip(*docs, strict=True)
+        arrays = [one(keys, pa.int64()), one(ids, arrow), one(np.diff(found.first), pa.int64()), one(again, pa.int64()), one(base, pa.int64()), one(split, pa.bool_()), one(found.terms, pa.binary()), one(counts, pa.int64()), pa.array([planes(steps.astype(np.uint64), 4)], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["keys", "ids", "words", "again", "base", "split", "terms", "counts", "places"])
+
+    def build(batches):
+        key, held, ids, size = TaskContext.get().partitionId() << 40, [], [], 0
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for i in range(batch.num_rows):
+                key, base = key + 1, 0
+                for piece, again, more in _pieces(texts[i].as_py() or b""):
+                    if size and size + len(piece) > SEGMENT:
+                        yield segment(held, pa.concat_arrays(ids))
+                        held, ids, size = [], [], 0
+                    split = more or base > 0
+                    held.append((key, piece, again, base - again, split))
+                    ids.append(batch.column(0).slice(i, 1))
+                    size += len(piece) + 1
+                    if split:
+                        base += len(Words([piece]).begin) - again
+        if held:
+            yield segment(held, pa.concat_arrays(ids))
+
+    return written(df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(build, _SEGMENT.format(id_type.simpleString())), "postings")
+
+
+class Segment:
+    """A segment's postings: ``places[starts[t] : starts[t + 1]]`` of term t."""
+
+    def __init__(self, row: pa.RecordBatch):
+        values = lambda name: row.column(name).flatten().to_numpy(zero_copy_only=False)
+        self.keys, self.words, self.again, self.base, self.split = (values(c) for c in ("keys", "words", "again", "base", "split"))
+        self.ids, self.terms = row.column("ids").flatten(), row.column("terms").flatten()
+        self.counts = values("counts")
+        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
+        steps = unplanes(row.column("places")[0].as_py(), 4).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(steps)))
+        self.places = total[1:] - np.repeat(total[self.starts[:-1]], self.counts)
+        self.first = np.concatenate(([0], np.cumsum(self.words)))
+        self.doc = np.repeat(np.arange(len(self.words)), self.words)
+        #: Term and place of each posting, ascending.
+        self.keyed = np.repeat(np.arange(len(self.counts)), self.counts) << 32 | self.places
+
+    def local(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """This segment's number of each term of a vocabulary (0 where it has none), and the length of its list."""
+        at = pc.index_in(vocabulary, value_set=self.terms)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return at, np.where(known, self.counts[at], 0) if len(self.counts) else np.zeros(len(at), np.int64)
+
+    def in_list(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        want = term << 32 | place
+        at = np.minimum(np.searchsorted(self.keyed, want), len(self.keyed) - 1)
+        return self.keyed[at] == want
+
+    def lists(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of several terms, one after the other: whose they are, and the places."""
+        n = self.counts[term]
+        k = np.repeat(np.arange(len(term)), n)
+        return k, self.places[np.arange(n.sum()) + (self.starts[term] - np.cumsum(n) + n)[k]]
 
 
 class Items:
-    """Compiled test items: the vocabulary, and windows grouped by length."""
+    """Compiled test items: their distinct ids, terms, and words joined; the
+    windows (first word, item) of each length."""
 
-    def __init__(self, rows: list[tuple[str, str]], words: int = WINDOW):
-        self.ids = sorted({i for i, _ in rows})
+    def __init__(self, rows: list[tuple[str | None, str]], words: int = WINDOW):
+        self.ids: list[str | None] = list(dict.fromkeys(i for i, _ in rows))
         number = {i: k for k, i in enumerate(self.ids)}
         found = Words([t.encode() for _, t in rows])
-        self.vocabulary = np.unique(found.hashes)
-        terms = np.searchsorted(self.vocabulary, found.hashes)
-        by_length: dict[int, list] = {}
-        for k, (i, _) in enumerate(rows):
-            own = terms[found.first[k] : found.first[k + 1]]
-            if len(own):
-                for w in np.lib.stride_tricks.sliding_window_view(own, min(words, len(own))):
-                    by_length.setdefault(len(w), []).append((*w.tolist(), number[i]))
-        #: (terms of each window, its item) for each length.
-        self.windows = [(m[:, :-1], m[:, -1]) for m in (np.array(sorted(set(w)), np.int64) for w in by_length.values())]
-
-
-class Postings:
-    """The positional index of a block of documents."""
-
-    def __init__(self, texts: list[bytes], vocabulary: np.ndarray):
-        self.words = Words(texts)
-        n = len(vocabulary)
-        at = np.searchsorted(vocabulary, self.words.hashes)
-        at[at == n] = 0
-        known = vocabulary[at] == self.words.hashes if n else np.zeros(len(at), bool)
-        #: The term at each position, or -1.
-        self.term_at = np.where(known, at, -1)
-        where = np.flatnonzero(known)
-        self.positions = where[np.argsort(at[where], kind="stable")]
-        self.sizes = np.bincount(at[where], minlength=n)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-
-    def phrases(self, windows: np.ndarray):
-        """(window, position of its first word) of each exact occurrence."""
-        length = windows.shape[1]
-        sizes = self.sizes[windows]
-        possible = np.flatnonzero(sizes.min(axis=1) > 0) if len(windows) else np.empty(0, np.int64)
-        ranks = np.argsort(sizes[possible], axis=1, kind="stable")
-        rarest = ranks[:, 0] if len(possible) else np.empty(0, np.int64)
-        term = windows[possible, rarest]
-        n = self.sizes[term]
-        k = np.repeat(np.arange(len(possible)), n)
-        at = self.positions[np.repeat(self.starts[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] - rarest[k]
-        inside = (at >= 0) & (at + length <= len(self.term_at))
+        self.vocabulary, self.term = found.terms, found.term.astype(np.int32)
+        self.item, self.first = np.array([number[i] for i, _ in rows], np.int64), found.first
+        sizes = np.diff(found.first)
+        self.windows: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for length in np.unique(np.minimum(sizes, words)).tolist():
+            of = np.flatnonzero(np.minimum(sizes, words) == length)
+            n = sizes[of] - length + 1
+            row = np.repeat(np.arange(len(of)), n)
+            if length:
+                self.windows.append((length, found.first[of][row] + np.arange(n.sum()) - (np.cumsum(n) - n)[row], self.item[of][row]))
+
+    def occurrences(self, segment: Segment) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, item, place of the first word) of the windows that occur."""
+        local, counts = segment.local(self.vocabulary)
+        for length, starts, item in self.windows:
+            for s in range(0, len(starts), WINDOWS):
+                terms = self.term[starts[s : s + WINDOWS, None] + np.arange(length)]
+                sizes = counts[terms]
+                possible = np.flatnonzero(sizes.min(axis=1) > 0)
+                terms, own = local[terms[possible]], item[s : s + WINDOWS][possible]
+                rank = np.argsort(sizes[possible], axis=1, kind="stable")
+                fewest = np.cumsum(sizes[possible].min(axis=1))
+                cuts = [0, *(np.searchsorted(fewest, np.arange(PLACES, fewest[-1], PLACES), "right")).tolist(), len(fewest)] if len(fewest) else []
+                for a, b in itertools.pairwise(cuts):
+                    if a < b:
+                        k, at = self._intersect(segment, terms[a:b], rank[a:b])
+                        yield length, own[a:b][k], at
+
+    @staticmethod
+    def _intersect(segment: Segment, terms: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length, each = terms.shape[1], np.arange(len(terms))
+        k, at = segment.lists(terms[each, rank[:, 0]])
+        at = at - rank[k, 0]
+        inside = (at >= 0) & (at + length <= len(segment.doc))
         k, at = k[inside], at[inside]
-        text_of = self.words.text_of
-        same = text_of[at] == text_of[at + length - 1]
+        same = segment.doc[at] == segment.doc[at + length - 1]
         k, at = k[same], at[same]
         for r in range(1, length):
-            offset = ranks[k, r]
-            met = self.term_at[at + offset] == windows[possible[k], offset]
+            offset = rank[k, r]
+            met = segment.in_list(terms[k, offset], at + offset)
             k, at = k[met], at[met]
-        return possible[k], at
-
-    def near(self, terms: np.ndarray, width: int) -> np.ndarray:
-        """Positions of the rarest of ``terms`` that have each other one at most ``width`` words away in the same document."""
-        terms = terms[np.argsort(self.sizes[terms], kind="stable")]
-        lists = [self.positions[self.starts[t] : self.starts[t + 1]] for t in terms]
-        at, text_of = lists[0], self.words.text_of
-        for other in lists[1:]:
-            low = np.maximum(at - width, self.words.first[text_of[at]])
-            high = np.minimum(at + width, self.words.first[text_of[at] + 1] - 1)
-            at = at[np.searchsorted(other, low) < np.searchsorted(other, high, "right")]
-        return at
-
-
-def _blocks(batch):
-    """Row ranges of a batch of about INDEX_BYTES each."""
-    sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
-    at, size = 0, 0
-    for i, s in enumerate(sizes):
-        size += int(s)
-        if size >= INDEX_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(sizes):
-        yield at, len(sizes)
-
-
-def _items_of(pairs: np.ndarray, n_items: int, n_docs: int, ids: list[str]) -> list[list[str]]:
-    """Each document's items, from pairs document * n_items + item."""
-    pairs = np.unique(pairs)
-    cut = np.searchsorted(pairs, np.arange(n_docs + 1) * max(n_items, 1))
-    return [[ids[p % n_items] for p in pairs[a:b].tolist()] for a, b in itertools.pairwise(cut.tolist())]
-
-
-def _search(texts: list[bytes], items: Items):
-    """n_words; hit positions of all texts (a mask over words); items of each."""
-    index = Postings(texts, items.vocabulary)
-    hits, pairs = np.zeros(len(index.term_at) + 1, np.int64), []
-    for windows, owner in items.windows:
-        w, at = index.phrases(windows)
-        np.add.at(hits, at, 1)
-        np.add.at(hits, at + windows.shape[1], -1)
-        pairs.append(index.words.text_of[at] * len(items.ids) + owner[w])
-    found = _items_of(np.concatenate(pairs) if pairs else np.empty(0, np.int64), len(items.ids), len(texts), items.ids)
-    return index.words.first, np.cumsum(hits)[:-1] > 0, found
-
-
-def _result(n_hit: int, items: list[str]) -> tuple:
-    return n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0
-
-
-def item_blocks(benchmark: DataFrame, words: int, block_bytes: int, id_col: str, text_col: str):
-    """The compiled items, in blocks whose text is within ``block_bytes``
-    (a single item beyond that is a block of its own)."""
-    b = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+        return k, at
+
+    def near(self, segment: Segment, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, places of its rarest word that have each other word within ``width`` words)."""
+        local, counts = segment.local(self.vocabulary)
+        for i, (a, b) in enumerate(itertools.pairwise(self.first.tolist())):
+            terms = np.unique(self.term[a:b])
+            if not len(terms) or counts[terms].min() == 0:
+                continue
+            terms = local[terms[np.argsort(counts[terms], kind="stable")]]
+            _, at = segment.lists(terms[:1])
+            for t in terms[1:]:
+                low = np.maximum(at - width, segment.first[segment.doc[at]])
+                high = np.minimum(at + width, segment.first[segment.doc[at] + 1] - 1)
+                held = segment.places[segment.starts[t] : segment.starts[t + 1]]
+                at = at[np.searchsorted(held, low) < np.searchsorted(held, high, "right")]
+            yield int(self.item[i]), at
+
+
+def item_blocks(benchmark: DataFrame, words: int, block_bytes: int, id_col: str, text_col: str) -> Iterator[Items]:
+    """The compiled items, block by block; the driver holds one."""
+    b = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     for k in range(n):
         yield Items([tuple(r) for r in (b if n == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).distinct().collect()], words)
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row
-    of ``df``; with ``carry`` these stand beside all its columns, prefixed '_'."""
-    sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, words, block_bytes, item_col, item_text_col)]
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    kept = df if carry else df.select(F.col(id_col).alias("doc_id"))
-    given = kept.withColumn("_text", F.col(text_col).cast("string")) if carry else df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    own = [("_" if carry else "") + n for n in names[1:]]
-    types = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType())
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(own, types, strict=True))])
+def _searched(segments: DataFrame, items: Iterator[Items], search, schema: str) -> DataFrame:
+    """What ``search(segment, items, first block)`` yields for each segment and block of items, written."""
+    spark, parts = segments.sparkSession, []
+    for block in items:
+        sent, first = spark.sparkContext.broadcast(block), not parts
+
+        def each(batches, sent=sent, first=first):
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield from search(Segment(b.slice(i, 1)), sent.value, first)
+
+        with batch_rows(spark, SEGMENT_ROWS):
+            parts.append(written(segments.mapInArrow(each, schema), "found"))
+        sent.destroy()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out.blocks = len(parts)
+    return out
 
-    def find(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("_text"))
-            for a, b in _blocks(text):
-                texts = [x or b"" for x in text.slice(a, b - a).cast(pa.binary()).to_pylist()]
-                hit, found = None, [[] for _ in texts]
-                for block in blocks:
-                    first, mask, more = _search(texts, block.value)
-                    hit = mask if hit is None else hit | mask
-                    found = [x + y for x, y in zip(found, more, strict=True)]
-                total = np.concatenate(([0], np.cumsum(hit)))
-                n_hit = (total[first[1:]] - total[first[:-1]]).tolist()
-                out = [_result(n, sorted(set(i))) for n, i in zip(n_hit, found, strict=True)]
-                arrays = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if batch.schema.field(i).name != "_text"]
-                results = [pa.array(np.diff(first).tolist(), pa.int64()), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_())))]
-                yield pa.RecordBatch.from_arrays([*arrays, *results], schema.names)
 
-    return given.mapInArrow(find, schema)
+def _matches(segments: DataFrame, benchmark: DataFrame, words: int, find, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    id_type = segments.schema["ids"].dataType.elementType
 
+    def search(segment, items, first):
+        for item, at in find(segment, items):
+            own = at - segment.first[segment.doc[at]] + segment.base[segment.doc[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(segment.keys[segment.doc[at]]), segment.ids.take(pa.array(segment.doc[at])), pa.array([items.ids[i] for i in item.tolist()], pa.string()), pa.array(own)], ["key", "doc_id", "item_id", "place"])
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` in which no test window occurs."""
-    return contamination(df, benchmark, carry=True, **options).where("not _contaminated").select(*df.columns)
+    schema = f"key long, doc_id {id_type.simpleString()}, item_id string, place long"
+    # Pieces of a text overlap, and items may repeat.
+    return _searched(segments, item_blocks(benchmark, words, block_bytes, id_col, text_col), search, schema).distinct().drop("key")
+
+
+def phrase_matches(segments: DataFrame, benchmark: DataFrame, words: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, place: where a window of an item occurs (the number of its first word in the document)."""
+    if words > REACH:
+        raise ValueError(f"at most {REACH} words")
+    return _matches(segments, benchmark, words, lambda s, items: ((own, at) for _, own, at in items.occurrences(s)), item_col, item_text_col, block_bytes)
+
+
+def near_matches(segments: DataFrame, benchmark: DataFrame, width: int, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, place: an occurrence of an item's rarest word (in its
+    part of the index) that has each other word of the item at most ``width``
+    words away in the same document."""
+    if 2 * width > REACH:
+        raise ValueError(f"at most {REACH // 2} words")
+    return _matches(segments, benchmark, WINDOW, lambda s, items: ((np.full(len(at), i), at) for i, at in items.near(s, width)), item_col, item_text_col, block_bytes)
+
+
+def _found(segment: Segment, items: Items, every: bool) -> Iterator[pa.RecordBatch]:
+    """Each document's hit words (as a count and as ranges) and items; only those with any, and no count of words, unless ``every``."""
+    n = len(segment.doc)
+    hits, pairs = np.zeros(n + 1, np.int64), []
+    for length, item, at in items.occurrences(segment):
+        np.add.at(hits, at, 1)
+        np.add.at(hits, at + length, -1)
+        pairs.append(np.unique(segment.doc[at] * len(items.ids) + item))
+    hit = np.cumsum(hits)[:-1] > 0
+    total = np.concatenate(([0], np.cumsum(hit)))
+    n_hit = total[segment.first[1:]] - total[segment.first[:-1]]
+    some = np.arange(len(n_hit)) if every else np.flatnonzero(n_hit)
+    pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+    owner, item = pairs // max(len(items.ids), 1), pairs % max(len(items.ids), 1)
+    cut = np.searchsorted(owner, np.append(some, len(n_hit)))
+    ranges = []
+    for d in some.tolist():
+        edges = np.flatnonzero(np.diff(hit[segment.first[d] : segment.first[d + 1]], prepend=False, append=False)) if n_hit[d] else []
+        ranges.append((np.asarray(edges, np.int64) + segment.base[d]).tolist())
+    arrays = [pa.array(segment.keys[some]), segment.ids.take(pa.array(some)), pa.array((segment.words - segment.again)[some] * every), pa.array(segment.split[some]), pa.array(n_hit[some]), pa.array(ranges, pa.list_(pa.int64())), pa.array([[items.ids[i] for i in item[a:b].tolist()] for a, b in itertools.pairwise(cut.tolist())], pa.list_(pa.string()))]
+    yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "n_words", "split", "n_hit", "ranges", "items"])
+
+
+def _united(ranges: list[list[list[int]]]) -> int:
+    """Words in at least one of several lists of ranges [a, b, c, d, ...)."""
+    ends = sorted((x, 1 - 2 * (i % 2)) for r in ranges for i, x in enumerate(r))
+    n = depth = last = 0
+    for x, step in ends:
+        n += (x - last) * (depth > 0)
+        depth, last = depth + step, x
+    return n
+
+
+def contamination(df: DataFrame, benchmark: DataFrame, words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``df``."""
+    if words > REACH:
+        raise ValueError(f"at most {REACH} words")
+    id_type = df.schema[id_col].dataType.simpleString()
+    segments = index(df, id_col, text_col)
+    schema = f"key long, doc_id {id_type}, n_words long, split boolean, n_hit long, ranges array<long>, items array<string>"
+    found = _searched(segments, item_blocks(benchmark, words, block_bytes, item_col, item_text_col), _found, schema)
+    dropped(segments)
+
+    def unite(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([_united(x) for x in b.column(2).to_pylist()], pa.int64()), b.column(3)], ["doc_id", "n_words", "n_hit", "items"])
+
+    apart = F.lit(found.blocks > 1) | F.col("split")
+    # The first block of items reports every piece of every document, the others what they find.
+    several = found.where(apart).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    several = several.select("doc_id", "n_words", "ranges", "items").mapInArrow(unite, f"doc_id {id_type}, n_words long, n_hit long, items array<string>")
+    rows = found.where(~apart).select("doc_id", "n_words", "n_hit", "items").unionByName(several)
+    names = F.array_sort(F.transform("items", lambda i: F.coalesce(i, F.lit("null"))))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` in which no test window occurs, with all their columns."""
+    key = free_name("_row", df)
+    rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
+    bad = contamination(rows, benchmark, id_col=key, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias(key))
+    return rows.join(bad, key, "left_anti").select(*df.columns)
 
 
 def op3_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_CUT = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP3_SQL = f"""
+WITH items AS (SELECT item_id, {_CUT} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, least(len(w), {WINDOW}) AS k, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CUT}, []) AS w FROM documents),
+grams AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+met AS (SELECT r, k, i, item_id FROM grams JOIN windows USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT coalesce(item_id, 'null'))) AS ids FROM met GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, release_shuffles, table, written
+from .common import batch_rows, planes, release_shuffles, table, unplanes, written
 from .induced import suffix_order
 
 LENGTH, GRAM = 50, 24
@@ -124,18 +124,6 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return h[at], context, text, at - firsts[text]
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of 64-bit values, byte by byte: planes of zeros compress away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unplanes(b: bytes, width: int) -> np.ndarray:
-    p = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((p.shape[1], 8), np.uint8)
-    out[:, :width] = p.T
-    return out.view(np.uint64).ravel()
-
-
 def _blocks(column: pa.Array, most: int):
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
@@ -190,7 +178,7 @@ def _send(buckets: int, length: int, gram: int):
                 same = bool((i == k).all())
                 steps = np.diff(i, prepend=i[:1]).view(np.uint64)
                 wide = 4 if steps.max() < 1 << 32 and at[s:e].max() < 1 << 32 else 8
-                blob = (_planes(h[s:e], 6) + _planes(c[s:e], 8) + _planes(steps, wide) + _planes(at[s:e].view(np.uint64), wide) + (b"" if same else k.tobytes()))
+                blob = (planes(h[s:e], 6) + planes(c[s:e], 8) + planes(steps, wide) + planes(at[s:e].view(np.uint64), wide) + (b"" if same else k.tobytes()))
                 out.append((int(bucket[s]), e - s, wide, same, int(i[0]), blob))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], _SENT)
 
@@ -213,7 +201,7 @@ def _spans(keys: np.ndarray, at: np.ndarray):
 
 def _unpack(n: int, wide: int, same: bool, first: int, blob: bytes):
     cut = np.cumsum([0, 6 * n, 8 * n, wide * n, wide * n])
-    h, c, steps, at = (_unplanes(blob[a:b], w) for a, b, w in zip(cut[:-1], cut[1:], (6, 8, wide, wide), strict=True))
+    h, c, steps, at = (unplanes(blob[a:b], w) for a, b, w in zip(cut[:-1], cut[1:], (6, 8, wide, wide), strict=True))
     ids = first + np.cumsum(steps.view(np.int64))
     return h, c, ids, ids if same else np.frombuffer(blob[cut[-1] :], np.int64), at.view(np.int64)
 

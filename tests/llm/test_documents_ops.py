@@ -123,27 +123,56 @@ def contaminated(rows, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination_equals_brute_force(spark, docs, block):
+@pytest.mark.parametrize("block", [1 << 20, 400])
+@pytest.mark.parametrize("segment", [2 << 20, 300])
+def test_decontamination_equals_brute_force(spark, docs, monkeypatch, block, segment):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    monkeypatch.setattr(decontaminate, "PLACES", segment)
+    monkeypatch.setattr(decontaminate, "REACH", 12)
     bench = spark.createDataFrame([(i, t, "extra") for i, t in BENCHMARK], "item_id string, text string, doc_id string")
     got = decontaminate.contamination(docs, bench, block_bytes=block).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, contaminated(ROWS, BENCHMARK)))
-    assert decontaminate.contamination(docs.where("false"), bench).count() == 0
-    assert decontaminate.contamination(docs, bench.where("false")).where("contaminated or n_items > 0").count() == 0
+    if block > 400:
+        assert decontaminate.contamination(docs.where("false"), bench).count() == 0
+        assert decontaminate.contamination(docs, bench.where("false")).where("contaminated or n_items > 0").count() == 0
 
 
 def test_decontaminated_rows_keep_their_columns(spark, docs):
     bench = spark.createDataFrame(BENCHMARK, "item_id string, text string")
-    left = decontaminate.decontaminated(docs, bench)
-    assert left.columns == docs.columns
+    more = docs.selectExpr("*", "1 AS _row", "2 AS _text", "3 AS _n_hit", "true AS _contaminated", "4 AS ids")
+    left = decontaminate.decontaminated(more, bench)
+    assert left.columns == more.columns
     assert left.count() == sum(not c[-1] for c in contaminated(ROWS, BENCHMARK))
 
 
-def test_proximity():
-    text = [b"one two three", b"one x x x two", b"two one"]
-    vocabulary = decontaminate.Items([("a", "one two")]).vocabulary
-    index = decontaminate.Postings(text, vocabulary)
-    assert [len(index.near(np.array([0, 1]), w)) for w in (1, 3, 4)] == [2, 2, 3]
+def words_of(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+
+
+@pytest.mark.parametrize("segment", [2 << 20, 200])
+def test_matches_equal_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 200)))) for i in range(30)] + [(None, "a b"), (4, None)]
+    items = [("p", "a b c"), ("q", "h h"), (None, "c d"), ("r", "zz a"), ("s", "")]
+    segments = decontaminate.index(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {tuple(r) for r in decontaminate.phrase_matches(segments, bench).collect()}
+    want = {(i, k, p) for i, t in rows for k, q in items for w, v in [(words_of(t), words_of(q))] if v for p in range(len(w) - len(v) + 1) if w[p : p + len(v)] == v}
+    assert got == want
+    if segment > 200:
+        near = {tuple(r)[:2] for r in decontaminate.near_matches(segments, bench, 3).collect()}
+        close = {(i, k) for i, t in rows for k, q in items for w, v in [(words_of(t), set(words_of(q)))] if v and any(all(any(w[j] == x for j in range(max(0, p - 3), min(len(w), p + 4))) for x in v) for p in range(len(w)) if w[p] in v)}
+        assert near <= close and {x for x in close if x[1] != "p"} <= near  # of three words, the rarest has to be amid the others
+
+
+def test_proximity(spark):
+    texts = spark.createDataFrame([(1, "One two three"), (2, "one x x x two"), (3, "two, one"), (4, "one"), (5, "two x one x two")], "doc_id long, text string")
+    segments = decontaminate.index(texts)
+    bench = spark.createDataFrame([("a", "one two")], "item_id string, text string")
+    got = {w: sorted((r["doc_id"], r["place"]) for r in decontaminate.near_matches(segments, bench, w).collect()) for w in (1, 2, 4)}
+    assert {w: {i for i, _ in x} for w, x in got.items()} == {1: {1, 3}, 2: {1, 3, 5}, 4: {1, 2, 3, 5}}
+    assert got[2] == [(1, 0), (3, 1), (5, 2)]
 
 
 # SimHash ------------------------------------------------------------------------------------------------------------
