@@ -1,3 +1,5 @@
+import glob
+import gzip
 import hashlib
 import os
 
@@ -30,20 +32,39 @@ def test_archive_reads_back(spark, pages, tmp_path):
         revisit = t == LONG and i != 5
         want.append((i, n, sha(t), "revisit" if revisit else "response", 5 if revisit else None))
     assert got == sorted(want, key=str)
-    assert a.payloads.count() == len({t or "" for _, _, t, _ in PAGES})
+    assert archive.stored(a).count() == len({t or "" for _, _, t, _ in PAGES})
     whole = archive.records(a).collect()
-    assert len(whole) == len(PAGES) and all(r["block"] == r["payload"] or not r["block"] for r in whole)
-    assert all("\r\nX: y" not in r["header"] for r in whole)
+    assert len(whole) == len(PAGES) and all("\r\nX: y" not in r["header"] for r in whole)
     archive.write_warc(a, str(tmp_path / "warc"))
     back = archive.read_warc(spark, str(tmp_path / "warc" / "part-*")).collect()
-    assert sorted((r["header"], bytes(r["block"])) for r in back) == sorted((r["header"], bytes(r["block"])) for r in whole)
+    assert sorted((bytes(r["header"]).decode(), bytes(r["block"])) for r in back) == sorted((r["header"], bytes(r["block"])) for r in whole)
+
+
+def test_arbitrary_bytes_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "PART", 2)
+    monkeypatch.setattr(archive, "HANDED", 100)
+    monkeypatch.setattr(archive, "UNPACKED", 7)
+    rng = np.random.default_rng(3)
+    blobs = [rng.bytes(int(n)) for n in rng.integers(0, 3000, 20)] + [b"\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 3, b"", b"", b"", b"\xff\xfe\x00"]
+    pages = spark.createDataFrame([(i, "u", bytearray(b)) for i, b in enumerate(blobs)], "page_id long, url string, html binary")
+    a = archive.write_archive(pages)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in archive.digests(a).collect()}
+    assert got == {i: (len(b), hashlib.sha1(b).hexdigest()) for i, b in enumerate(blobs)}
+    archive.write_warc(a, str(tmp_path / "warc"))
+    back = archive.read_warc(spark, str(tmp_path / "warc" / "part-*")).collect()
+    assert sorted(bytes(r["block"]) for r in back) == sorted(blobs)
 
 
 def test_damage_is_found(spark, pages):
     a = archive.write_archive(pages)
-    bad = archive.Archive(a.headers, a.payloads.selectExpr("digest", "concat(payload, cast('!' as binary)) AS payload"))
-    with pytest.raises(Exception, match="damaged"):
-        archive.digests(bad).collect()
+    file = next(f for f in glob.glob(f"{a.path.removeprefix('file:')}/part-*") if len(gzip.open(f).read()) > 1000)
+    data = gzip.open(file).read()
+    for bad, said in ((data.replace(b"yyy", b"yxy", 1), "damaged payload"), (data[:-1], "shorter or longer"), (data[:-8], "shorter or longer"), (data.replace(b"Content-Length: ", b"Content-Length: x", 1), "no record's header"), (data + b"WARC/1.1", "without an end")):
+        with gzip.open(file, "wb") as f:
+            f.write(bad)
+        os.remove(f"{os.path.dirname(file)}/.{os.path.basename(file)}.crc") if os.path.exists(f"{os.path.dirname(file)}/.{os.path.basename(file)}.crc") else None
+        with pytest.raises(Exception, match=said):
+            archive.digests(a).collect()
 
 
 def test_empty_archive(pages):
@@ -137,7 +158,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA), con.sql(ORACLE_SQL[name])
     cols = sorted(got.columns)
