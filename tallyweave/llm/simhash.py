@@ -11,9 +11,10 @@ meet there.  Where they meet, fingerprints are sorted by Gray rank, which sets
 neighbours with few differing bits together; runs of them form nodes that keep
 the bits on which all members agree.  A pair of nodes whose agreed bits differ
 in more than ``max_bits`` places is dropped with all its members; what is left
-is followed down to single fingerprints.  Groups too large for one task are
-split in parts and each pair of parts meets once, so nothing is capped.  A task
-returns a spanning forest of what it links.
+is followed down to single fingerprints.  A group too large for one task meets
+again on blocks of the bits that its members need not share, by the same rule;
+what is too large even then is split in parts and each pair of parts meets
+once, so nothing is capped.  A task returns a spanning forest of what it links.
 
 Null texts have no words, like empty ones: fingerprint zero, which links like
 any other.  Null ids get a component too (the least id that is not null, if
@@ -23,6 +24,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -31,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, dropped, release_shuffles, table, written
+from .common import batch_rows, dropped, free_name, release_shuffles, table, written
 from .graph import connected_components, local_components
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT = 8
-#: Node pairs followed at once; fingerprints of a group that one task takes; most parts of a larger group.
-FRONTIER, PART, MOST_PARTS = 1 << 19, 1024, 64
+#: Node pairs followed at once; fingerprints of a group that one task takes; of a group that meets again on other blocks.
+FRONTIER, PART, CROWD = 1 << 19, 1024, 16_384
 #: Fingerprints aimed at for a group when choosing blocks.
 GROUP_AIM = 8192
 #: Rows of whole groups that a similarity search takes at once.
@@ -74,15 +76,28 @@ def fingerprints(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(each, f"doc_id {id_type}, fp long")
 
 
-def routes(n: int, max_bits: int = MAX_BITS) -> list[list[tuple[int, int]]]:
-    """The blocks to meet on, each a list of (shift, width) runs of bits.
-    With max_bits + 1 + c blocks, linked fingerprints agree on c + 1 of them."""
+def blocks(bits: list[int], n: int) -> list[list[int]]:
+    """``bits`` cut in ``n`` runs of about equal length."""
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    return [bits[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def routes(n: int, max_bits: int = MAX_BITS) -> list[list[int]]:
+    """The bits to meet on, way by way.  With max_bits + 1 + c blocks, linked
+    fingerprints agree on c + 1 of them."""
     c = 0
     while c < 3 and n >> (64 * (c + 1) // (max_bits + 1 + c)) > GROUP_AIM:
         c += 1
-    blocks = max_bits + 1 + c
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in chosen] for chosen in combinations(range(blocks), c + 1)]
+    cut = blocks(list(range(64)), max_bits + 1 + c)
+    return [sum(chosen, []) for chosen in combinations(cut, c + 1)]
+
+
+def values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The chosen bits of each fingerprint, as a number."""
+    out = np.zeros(len(fp), np.uint64)
+    for bit in bits:
+        out = out << np.uint64(1) | (fp >> np.uint64(bit) & np.uint64(1))
+    return out.view(np.int64)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -140,37 +155,71 @@ class GrayIndex:
                 todo.append((level - 1, x[near], y[near]))
 
 
+def _parted(met: DataFrame, group: list[str], node: str, carry: list[str]) -> DataFrame:
+    """``met`` with ``key``, one for each group of at most PART rows; larger
+    groups are split in parts, with a key for each two of them."""
+    sizes = met.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    met = met.join(sizes.select(*group, F.ceil(F.col("n") / PART).cast("int").alias("parts")), group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select(F.xxhash64(*group, F.least("part", "other"), F.greatest("part", "other")).alias("key"), *carry)
+
+
+def _shards(batches, most: int):
+    """The columns of whole keys (the first column, ascending), several at a time up to about ``most`` rows."""
+    held, size = [], 0
+    for b in batches:
+        keys = b.column(0).to_numpy()
+        if size > most and len(keys):  # a key is never parted
+            same = int(np.argmax(np.append(keys != held[-1][0][-1], True)))
+            if same:
+                held.append(tuple(c.slice(0, same).to_numpy(zero_copy_only=False) for c in b.columns))
+            if same < len(keys):
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+            b = b.slice(same)
+        if b.num_rows:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            size += b.num_rows
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links that join the same fingerprints as all links within
     ``max_bits`` do.  ``fps``: distinct fingerprints, column fp."""
     ways = routes(fps.count(), max_bits)
+    # Where linked fingerprints agree on a way's bits, they differ in at most max_bits of the others.
+    again = [blocks([b for b in range(64) if b not in way], max_bits + 1) for way in ways]
 
-    def value(way):
-        out = F.lit(0).cast("long")
-        for shift, width in way:
-            out = out * (1 << width) + F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        return out
+    def meet(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy().view(np.uint64)
+            for i, way in enumerate(ways):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(values(fp, way)), b.column(0)], ["way", "value", "fp"])
 
-    met = fps.select("fp", F.posexplode(F.array(*map(value, ways))).alias("way", "value"))
-    sizes = met.groupBy("way", "value").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART)).cast("int")
-    met = met.join(sizes.select("way", "value", parts.alias("parts")), ["way", "value"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    met = met.select("*", other.alias("other")).select(F.xxhash64("way", "value", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "fp")
+    def meet_again(batches):
+        for b in batches:
+            way, fp = b.column(0).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+            for w in np.unique(way).tolist():
+                own = way == w
+                for k, bits in enumerate(again[w]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (np.full(len(fp), w * len(again[w]) + k + len(ways), np.int32), b.column(1).to_numpy() * 31 + values(fp, bits) * 0x9E3779B1 + 7, b.column(2).to_numpy())], ["way", "value", "fp"])
+
+    met = fps.select("fp").mapInArrow(meet, "way int, value long, fp long")
+    # Crowds: at most a CROWD-th of all meetings.
+    crowds = met.groupBy("way", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("way", "value")
+    met = met.join(crowds, ["way", "value"], "left_anti").unionByName(met.join(crowds, ["way", "value"], "left_semi").select("way", "value", "fp").mapInArrow(meet_again, "way int, value long, fp long"))
+    met = _parted(met, ["way", "value"], "fp", ["fp"])
 
     def join(batches):
-        kept = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not kept:
-            return
-        keys, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-        code = fp.view(np.uint64)
-        labels = np.arange(len(fp))
-        for i, j in GrayIndex(keys, code).links(max_bits):
-            labels = local_components(len(fp), i, j, labels)
-        linked = np.flatnonzero(labels != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[labels[linked]])], ["a", "b"])
+        for keys, fp in _shards(batches, SHARD):
+            labels = np.arange(len(fp))
+            for i, j in GrayIndex(keys, fp.view(np.uint64)).links(max_bits):
+                labels = local_components(len(fp), i, j, labels)
+            linked = np.flatnonzero(labels != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[labels[linked]])], ["a", "b"])
 
-    return met.repartition("key").mapInArrow(join, "a long, b long").where("a <> b")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").where("a <> b")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,12 +232,22 @@ def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
     return fps.join(label.select("fp", "label").join(least, "label"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity search: bits of a band, bands, most differing bits of a pair looked at, bins of a sketch.
-BAND_BITS, BANDS, FAR_BITS, BINS = 10, 26, 18, 128
-#: Bytes of shingle sets in a part of a group of candidates; pairs whose sketches are compared at once.
+#: Similarity search: least bits of a band, texts aimed at for a value of a band, chance that a pair of similarity 0.8 meets in none,
+#: most differing bits of a pair looked at (3.6 standard deviations beyond those of such a pair), bins of a profile.
+BAND_BITS, BAND_AIM, MISSED, FAR_BITS, BINS = 10, 1024, 0.01, 21, 128
+#: Bytes of shingle sets in a part of a group of candidates; pairs whose profiles are compared at once.
 PART_BYTES, ROWS_AT_ONCE = 32 << 20, 1 << 14
 
 
+def bands(n: int) -> list[list[int]]:
+    """Random choices of bits to meet on: with more texts more bits, so that a
+    value's texts stay few, and as many more choices as a pair needs that
+    differs in one bit of six (similarity 0.8)."""
+    bits = max(BAND_BITS, math.ceil(math.log2(max(1, n / BAND_AIM))))
+    rng = np.random.default_rng(SEED)
+    return [rng.choice(64, bits, replace=False).tolist() for _ in range(math.ceil(math.log(MISSED) / math.log1p(-((5 / 6) ** bits))))]
+
+
 def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     """The sorted hashes of the text's shingles, each once."""
     from xxhash import xxh64_intdigest
@@ -197,9 +256,9 @@ def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(b" ".join(w[i : i + words]), seed) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64))
 
 
-def sketched(h: np.ndarray) -> tuple[int, bytes]:
+def profiled(h: np.ndarray) -> tuple[int, bytes]:
     """The fingerprint of a set of shingles (repeats count once, as in its
-    similarity), and a sketch of the set: in each of BINS ranges of hashes the
+    similarity), and a profile of the set: in each of BINS ranges of hashes the
     least one, as a byte (0: none)."""
     if not len(h):
         return 0, bytes(BINS)
@@ -208,13 +267,13 @@ def sketched(h: np.ndarray) -> tuple[int, bytes]:
         counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
     bins = (h >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
-    sketch = np.zeros(BINS, np.uint8)
-    sketch[bins[first]] = h[first] % np.uint64(255) + np.uint64(1)
-    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"), sketch.tobytes()
+    profile = np.zeros(BINS, np.uint8)
+    profile[bins[first]] = h[first] % np.uint64(255) + np.uint64(1)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"), profile.tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches, row by row."""
+    """Estimated Jaccard similarity of profiles, row by row."""
     some = (a != 0) | (b != 0)
     return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
 
@@ -234,7 +293,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def exact_labels(sets: list[np.ndarray], sketch: np.ndarray, part: np.ndarray, across: bool, least: float) -> np.ndarray:
+def exact_labels(sets: list[np.ndarray], profile: np.ndarray, part: np.ndarray, across: bool, least: float) -> np.ndarray:
     """Labels that the pairs of similarity ``least`` or more join, each pair
     joined by the sets themselves.  Pairs that are joined already are passed
     over.  ``across``: only pairs of different parts."""
@@ -248,7 +307,7 @@ def exact_labels(sets: list[np.ndarray], sketch: np.ndarray, part: np.ndarray, a
         far = far[small >= least * large * (1 - 1e-9)]  # no other sizes can be as similar
         for s in range(0, len(far), ROWS_AT_ONCE):
             some = far[s : s + ROWS_AT_ONCE]
-            estimate = similarity(sketch[i][None], sketch[some])
+            estimate = similarity(profile[i][None], profile[some])
             likely = np.flatnonzero(estimate >= enough)
             for j in some[likely[np.argsort(-estimate[likely], kind="stable")]].tolist():
                 if labels[i] != labels[j] and jaccard(sets[i], sets[j]) >= least:
@@ -259,12 +318,12 @@ def exact_labels(sets: list[np.ndarray], sketch: np.ndarray, part: np.ndarray, a
 
 def _verified(candidates: DataFrame, least: float) -> DataFrame:
     """(a, b): links between nodes of one group of candidates that their sets
-    of shingles bear out.  ``candidates``: component, node, sketch, shingles."""
+    of shingles bear out.  ``candidates``: component, node, profile, shingles."""
     sizes = candidates.groupBy("component").agg(F.sum(F.length("shingles").cast("long") + BINS).alias("n")).where(F.col("n") > PART_BYTES)
-    parts = sizes.select("component", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_BYTES)).cast("int").alias("parts"))
+    parts = sizes.select("component", F.ceil(F.col("n") / PART_BYTES).cast("int").alias("parts"))
     met = candidates.join(parts, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "sketch", "shingles")
+    met = met.select("component", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "profile", "shingles")
 
     def join(batches):
         held: list[tuple] = []
@@ -273,8 +332,8 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
         def done():
             if len(held) > 1:
                 node = np.array([x[1] for x in held])
-                sketch = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, BINS)
-                labels = exact_labels([np.frombuffer(x[3], np.uint64) for x in held], sketch, np.array([x[0] for x in held]), held_key[1] != held_key[2], least)
+                profile = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, BINS)
+                labels = exact_labels([np.frombuffer(x[3], np.uint64) for x in held], profile, np.array([x[0] for x in held]), held_key[1] != held_key[2], least)
                 linked = np.flatnonzero(labels != np.arange(len(held)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
 
@@ -304,10 +363,9 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
     written table with doc_id, text and _row, a key of the row.
 
     Similar texts differ in more bits than blocks can hold apart, so
-    fingerprints meet on BANDS random choices of BAND_BITS bits; pairs within
-    FAR_BITS that the Gray-order index finds there are candidates if sketches
-    of their shingles do not rule them out.  A pair that differs in one bit of
-    six (similarity 0.8) meets in one band at least with probability 0.99.
+    fingerprints meet on random choices of bits (``bands``); pairs within
+    FAR_BITS that the Gray-order index finds there are candidates if profiles
+    of their shingles do not rule them out.
     Candidates form groups; within each, pairs are decided by their whole sets."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -316,65 +374,37 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
 
         for b in batches:
             texts = pc.fill_null(b.column(2), "").cast(pa.binary())
-            got = [(*sketched(h), xxh64_intdigest(h.tobytes(), SEED)) for h in (shingle_set(t.as_py(), words) for t in texts)]
+            got = [(*profiled(h), xxh64_intdigest(h.tobytes(), SEED)) for h in (shingle_set(t.as_py(), words) for t in texts)]
             fps, node = (pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([g[1] for g in got], pa.binary()), node], ["doc_id", "_row", "fp", "sketch", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([g[1] for g in got], pa.binary()), node], ["doc_id", "_row", "fp", "profile", "node"])
 
-    docs = written(rows.select("doc_id", "_row", "text").mapInArrow(each, f"doc_id {id_type}, _row long, fp long, sketch binary, node long"), "sketches")
-    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("_row").alias("_row"))
-    rng = np.random.default_rng(SEED)
-    chosen = [rng.choice(64, BAND_BITS, replace=False) for _ in range(BANDS)]
+    docs = written(rows.select("doc_id", "_row", "text").mapInArrow(each, f"doc_id {id_type}, _row long, fp long, profile binary, node long"), "profiles")
+    nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"), F.first("profile").alias("profile"), F.min("_row").alias("_row"))
+    chosen = bands(nodes.count())
 
     def spread(batches):
         for b in batches:
             fp = b.column(1).to_numpy().view(np.uint64)
             for i, bits in enumerate(chosen):
-                value = np.full(len(fp), i, np.int64)
-                for bit in bits:
-                    value = value << 1 | (fp >> np.uint64(bit) & np.uint64(1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(value), *b.columns[:3]], ["value", "node", "fp", "sketch"])
-
-    met = nodes.select("node", "fp", "sketch").mapInArrow(spread, "value long, node long, fp long, sketch binary")
-    # Groups: BANDS * 2^BAND_BITS at most.
-    codes = nodes.select("node", "fp").withColumn("sketch", F.lit(b"")).mapInArrow(spread, "value long, node long, fp long, sketch binary")
-    sizes = codes.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    parts = sizes.select("value", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART)).cast("int").alias("parts"))
-    met = met.join(F.broadcast(parts), "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(F.xxhash64("value", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", "fp", "sketch")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(values(fp, bits)), *b.columns[:3]], ["band", "value", "node", "fp", "profile"])
 
+    met = nodes.select("node", "fp", "profile").mapInArrow(spread, "band int, value long, node long, fp long, profile binary")
+    met = _parted(met, ["band", "value"], "node", ["node", "fp", "profile"])
     enough = loose(least)
 
-    def shard(keys, node, fp, sketch):
-        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BINS)
-        labels = np.arange(len(fp))
-        for i, j in GrayIndex(keys, fp.view(np.uint64)).links(FAR_BITS):
-            for s in range(0, len(i), 1 << 14):
-                a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                apart = labels[a] != labels[b]
-                a, b = a[apart], b[apart]
-                near = similarity(sketch[a], sketch[b]) >= enough
-                labels = local_components(len(fp), a[near], b[near], labels)
-        linked = np.flatnonzero(labels != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
-
     def join(batches):
-        held, size = [], 0
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            if size > SHARD and len(keys):  # a key is never parted
-                same = int(np.searchsorted(keys != held[-1][0][-1], True)) if keys[0] == held[-1][0][-1] else 0
-                if same:
-                    held.append(tuple(c.slice(0, same).to_numpy(zero_copy_only=False) for c in b.columns))
-                if same < len(keys):
-                    yield shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size = [], 0
-                b = b.slice(same)
-            if b.num_rows:
-                held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
-                size += b.num_rows
-        if held:
-            yield shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for keys, node, fp, profile in _shards(batches, SHARD):
+            profile = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, BINS)
+            labels = np.arange(len(fp))
+            for i, j in GrayIndex(keys, fp.view(np.uint64)).links(FAR_BITS):
+                for s in range(0, len(i), 1 << 14):
+                    a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                    apart = labels[a] != labels[b]
+                    a, b = a[apart], b[apart]
+                    near = similarity(profile[a], profile[b]) >= enough
+                    labels = local_components(len(fp), a[near], b[near], labels)
+            linked = np.flatnonzero(labels != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
 
     edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
     groups = connected_components(edges)
@@ -384,12 +414,12 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
     def sets(batches):
         for b in batches:
             texts = pc.fill_null(b.column(3), "").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())], ["component", "node", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())], ["component", "node", "profile", "shingles"])
 
     # A node stands for one set of shingles; its first row has the text.
     with batch_rows(spark, 1000):
-        texts = rows.join(nodes.join(groups, "node").select("component", "node", "sketch", "_row"), "_row").select("component", "node", "sketch", "text")
-        candidates = written(texts.mapInArrow(sets, "component long, node long, sketch binary, shingles binary"), "candidates")
+        texts = rows.join(nodes.join(groups, "node").select("component", "node", "profile", "_row"), "_row").select("component", "node", "profile", "text")
+        candidates = written(texts.mapInArrow(sets, "component long, node long, profile binary, shingles binary"), "candidates")
         links = written(_verified(candidates, least), "verified")
     dropped(candidates)
     groups = connected_components(links)
@@ -400,9 +430,7 @@ def deduplicated(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     """One row of each group that ``similar`` finds, with the columns of
     ``df``: a row of the group's least id, null ids last.  Rows of different
     groups stay each, also where they repeat an id or have none."""
-    key = "_row"
-    while key in df.columns:
-        key = f"_{key}"
+    key = free_name("_row", df)
     rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
     labels = _labelled(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("_row")), words, least)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))

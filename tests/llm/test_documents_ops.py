@@ -197,9 +197,11 @@ def test_fingerprints_and_groups_equal_brute_force(docs):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("part", [1024, 8])
-def test_index_links_like_brute_force(spark, monkeypatch, part):
+@pytest.mark.parametrize("part,crowd", [(1024, 16_384), (8, 16_384), (8, 1)])
+def test_index_links_like_brute_force(spark, monkeypatch, part, crowd):
     monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SHARD", 5)
     monkeypatch.setattr(simhash, "FRONTIER", 50)
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(150)}
@@ -219,9 +221,17 @@ def test_index_links_like_brute_force(spark, monkeypatch, part):
 def test_routes_leave_no_pair_out():
     for n in (10, 10**8, 10**10, 10**12):
         ways = simhash.routes(n)
-        blocks = {b for way in ways for b in way}
-        for gone in [list(blocks)[:4], list(blocks)[-4:]]:
-            assert any(not set(way) & set(gone) for way in ways)
+        assert {b for way in ways for b in way} == set(range(64))
+        rng = random.Random(n)
+        for _ in range(200):
+            gone = set(rng.sample(range(64), 4))
+            assert any(not gone & set(way) for way in ways)
+
+
+def test_bands_grow_with_the_corpus():
+    for n in (10, 10**6, 10**9):
+        chosen = simhash.bands(n)
+        assert n >> len(chosen[0]) <= simhash.BAND_AIM and (1 - (5 / 6) ** len(chosen[0])) ** len(chosen) <= simhash.MISSED
 
 
 def jaccard(a, b, k=5):
@@ -301,7 +311,9 @@ def test_rows_without_a_copy_stay_whatever_their_id(spark):
         assert {r["text"]: r["doc_id"] for r in kept} == {t: 0 if k == 10 else i for k, (i, t) in enumerate(zip(ids, texts))}
 
 
-def test_components_of_a_path_and_a_star(spark):
+def test_components_of_a_path_and_a_star(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUSY", 10)
+    monkeypatch.setattr(graph, "BUSY_NODES", 10)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100)}
