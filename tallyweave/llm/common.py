@@ -9,7 +9,8 @@ import time
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,18 @@ def free_name(name: str, df: DataFrame) -> str:
     return name
 
 
+def smallest(df: DataFrame, draw: Column, then: list[str], k: int) -> DataFrame:
+    """The ``k`` rows with the smallest ``draw`` (evenly spread over all 64-bit
+    integers), ties by ``then``.  Rows of a larger draw than these can have
+    stay where they are, so about 2 k rows meet in one task, however many there are."""
+    n = df.count()
+    share = (2 * k + 1000) / max(n, 1)
+    few = df.where(draw < F.lit(int(-(1 << 63) + share * (1 << 64)))) if share < 0.99 else df
+    if share < 0.99 and few.count() < k:
+        few = df
+    return few.orderBy(draw, *then).limit(k)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 

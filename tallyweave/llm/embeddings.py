@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import smallest, table, written
 from .graph import connected_components, local_components
 
 LEAST = 0.9
@@ -42,8 +42,8 @@ SAMPLE, LEAF, SAMPLED_LEAF, TREES, SPILL = 50_000, 384, 32, 4, 0.08
 MARGIN = 0.5
 #: A node is left whole where this share of the pairs of so many sampled rows has a cosine of ``least`` minus NEAR or more.
 WHOLE, PROBES, NEAR = 0.2, 128, 0.05
-#: Rows of a leaf that one task takes; most parts of a fuller leaf; links of a block that are handled one by one.
-PART, MOST_PARTS, PAIRS = 1024, 64, 1 << 15
+#: Rows of a leaf that one task takes; links of a block that are handled one by one.
+PART, PAIRS = 1024, 1 << 15
 SEED = 20
 
 
@@ -147,7 +147,7 @@ def _links(vectors: DataFrame, dim: int, least: float) -> DataFrame:
     """(node, n, other): n links of the node found in a leaf, or an edge from
     it to another node (n 0).  ``vectors``: node, v (valid, of one length), weight."""
     n = vectors.count()
-    sample = vectors.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()
+    sample = smallest(vectors.select("node", "v"), F.xxhash64("node"), ["node"], SAMPLE).toPandas()
     x = _unit(np.array(sample["v"].tolist()))
     depth = max(0, int(np.ceil(np.log2(max(1, min(n / LEAF, len(x) / SAMPLED_LEAF))))))
     rng = np.random.default_rng(SEED)
@@ -169,7 +169,7 @@ def _links(vectors: DataFrame, dim: int, least: float) -> DataFrame:
     fallen = written(vectors.select("node", "v", "weight").mapInArrow(fall, f"node long, v {kind}, weight long, leaves array<int>"), "leaves")
     sizes = fallen.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     # Fewer than TREES * 2^(depth + 1) leaves, bounded by the sample.
-    parts = sizes.select("leaf", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART)).cast("int").alias("parts"))
+    parts = sizes.select("leaf", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     met = fallen.withColumn("leaf", F.explode("leaves")).join(F.broadcast(parts), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("leaf", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "v", "weight", "leaves")

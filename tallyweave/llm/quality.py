@@ -15,7 +15,7 @@ Null ids are not held out, and no label joins them.  Labels that are null are
 ignored; repeated labels count as often as they stand.  Without labels of both
 kinds every score is the mean label (0.5 without any).  Repeated rows are
 scored each.  An empty table gives an empty result; extra columns are ignored,
-or kept by ``kept``.
+or kept by ``kept`` whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest, table
 
 #: Labelled rows that training may read; trees, their depth, thresholds tried for a statistic.
 MOST_ROWS, TREES, DEPTH, CUTS = 20_000, 40, 3, 32
@@ -143,9 +143,10 @@ def _lasso(met: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) ->
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> Rules:
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
-    chosen = chosen.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "_y").limit(most_rows)
+    chosen = smallest(chosen, F.xxhash64("_id", F.lit(SEED)), ["_id", "_y"], most_rows)
     rows, names = with_statistics(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id"), "_text")
-    got = rows.select("_id", "_y", *names).orderBy("_id", "_y", *names).toPandas()
+    # Ids that repeat among the documents join more rows than were chosen; the bound holds for these.
+    got = rows.select("_id", "_y", *names).orderBy("_id", "_y", *names).limit(most_rows).toPandas()
     return fit_rules(got[names].to_numpy(float), got["_y"].to_numpy(float), names)
 
 
@@ -157,8 +158,8 @@ def scored(df: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str =
 
 def kept(df: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the rules don't reject."""
-    rows, _ = with_statistics(df.withColumn("_text", F.col(text_col)), "_text")
-    return rows.where(rules.column() >= 0.5).select(*df.columns)
+    rows, _ = with_statistics(df.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text")
+    return rows.where(rules.column() >= 0.5).select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def op9_quality(spark, sf_dir):

@@ -322,6 +322,26 @@ def test_components_of_a_path_and_a_star(spark, monkeypatch):
 # Sharding -----------------------------------------------------------------------------------------------------------
 
 
+def sharded(rows, n, law):
+    """(id, size, crc, shard, slot) of each row, from the whole order in memory."""
+    digits = lambda b: int(hashlib.md5(b).hexdigest()[:15], 16)
+    data = sorted(((digits((t or "").encode()), digits(b"" if i is None else str(i).encode()), k) for k, (i, t) in enumerate(rows)))
+    size = [len((t or "").encode()) + 1 for _, t in rows]
+    total, groups, at, out, slots = sum(size), defaultdict(list), 0, [], Counter()
+    for key, _, k in data:
+        groups[key].append((at, size[k]))
+        at += size[k]
+    at = 0
+    for nth, (key, _, k) in enumerate(data):
+        whole = sum(s for _, s in groups[key])
+        middle = groups[key][0][0] + whole / 2 if whole <= max(1, 0.005 * total / n) else at + size[k] / 2
+        at += size[k]
+        shard = min(n - 1, int(middle * n / total)) if law == "bytes" else nth * n // len(rows)
+        out.append((rows[k][0], size[k], zlib.crc32((rows[k][1] or "").encode()), shard, slots[shard]))
+        slots[shard] += 1
+    return out
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows", "key"])
 def test_shards(docs, law):
     got = sharding.assign_shards(docs, 4, law, n_ranges=3).collect()
@@ -330,26 +350,39 @@ def test_shards(docs, law):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     for s in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    if law == "rows":
-        counts = Counter(r["shard"] for r in got)
-        assert max(counts.values()) - min(counts.values()) <= 1
-    if law == "bytes":
-        sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
-        assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
     if law == "key":
         assert all(r["grown_shard"] in (r["shard"], 4) for r in got)
+        again = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(docs.limit(20), 4, law).collect()}
+        assert all(again.get(r["doc_id"], r["shard"]) == r["shard"] for r in got)
     else:
         assert all(r["grown_shard"] is None for r in got)
+        assert sorted(map(str, ((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got))) == sorted(map(str, sharded(ROWS, 4, law)))
+
+
+@pytest.mark.parametrize("ids", ["id", "null"])
+def test_a_hot_text_is_divided(spark, ids):
+    rows = [(i if ids == "id" else None, "" if i % 3 == 0 else "the same text " * 5 if i % 3 == 1 else f"own {i // 5} " + "text " * 10) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for law in ("bytes", "rows"):
+        got = sharding.assign_shards(df, 8, law, n_ranges=32).collect()
+        assert sorted(map(str, ((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got))) == sorted(map(str, sharded(rows, 8, law)))
+    sizes = Counter()
+    for r in sharding.assign_shards(df, 8).collect():
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 8 and max(sizes.values()) < 1.02 * min(sizes.values())
+    assert sharding.assign_shards(df.where("false"), 8).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign_shards(df, 8, "other")
 
 
-def test_a_hot_text_is_divided(spark):
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the same text " * 5).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"), F.lit(" text " * 10))).alias("text"))
-    got = sharding.assign_shards(rows, 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
-    sizes = [r["b"] for r in got]
-    assert len(sizes) == 8 and max(sizes) < 1.02 * min(sizes)
-    assert sharding.assign_shards(rows.where("false"), 8).count() == 0
-    with pytest.raises(ValueError):
-        sharding.assign_shards(rows, 8, "other")
+def test_no_range_is_overfull(spark):
+    rows = [(i, "") for i in range(2000)] + [(i, f"text {i} " * 40) for i in range(2000, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("length(text) + 1 AS size", "cast(conv(substr(md5(text), 1, 15), 16, 10) AS long) AS key", "doc_id AS tie", "doc_id AS rid").cache()
+    n, total = 3000, df.agg(F.sum("size")).first()[0]
+    bounds = sharding.boundaries(df, n, total, 20)
+    got = df.withColumn("range", sharding._range_of(bounds)("key", "tie", "rid")).collect()
+    assert max(Counter(r["range"] for r in got).values()) <= 4 * n / 20
+    assert all(sum((r["key"], r["tie"], r["rid"]) >= b for b in bounds) == r["range"] for r in got)
 
 
 # Mixing -------------------------------------------------------------------------------------------------------------
@@ -411,6 +444,37 @@ def test_held_out_accuracy(spark):
     assert left.columns == docs.columns and 430 <= left.count() <= 470
 
 
+def statistics(t):
+    t = t or ""
+    import regex
+
+    n, words, lines = max(len(t), 1), regex.split(r"[ \t\n\x0b\f\r]+", t), t.split("\n")
+    words, lines = [w for w in words if w], [x for x in lines if x]
+    nw, nl = max(len(words), 1), max(len(lines), 1)
+    count = lambda p: len(regex.findall(p, t))
+    return {
+        "upper": count(r"\p{Lu}") / n, "digit": count(r"\p{Nd}") / n, "sign": count(r"[^\p{L}\p{Nd} \t\n\x0b\f\r.,]") / n, "stop": count(r"[.,]") / n, "word_length": len(t) / nw, "log_words": np.log1p(len(words)),
+        "distinct_words": len(set(words)) / nw, "distinct_lines": len(set(lines)) / nl, "line_length": np.log1p(n / nl), "signed_words": count(r"[^\p{L}\p{Nd} \t\n\x0b\f\r.,](?:[ \t\n\x0b\f\r]|$)") / nw,
+    }
+
+
+def test_scores_equal_plain_python(spark, docs):
+    corpus, labels = _corpus(spark)
+    rules = quality.train(corpus, labels)
+    for rows, df in (([(r["doc_id"], r["text"]) for r in corpus.collect()], corpus), (ROWS, docs)):
+        want = []
+        for i, t in rows:
+            s = statistics(t)
+            z = rules.bias + sum(w for w, conditions in rules.terms if all((s[name[3:]] > cut) == above for name, above, cut in conditions))
+            p = 1 / (1 + np.exp(-z))
+            want.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 3 == 1, round(p, 9), int(p >= 0.5)))
+        got = [(str(r["doc_id"]), r["held_out"], round(r["score"], 9), r["predicted"]) for r in quality.scored(df, rules).collect()]
+        assert sorted(got) == sorted(want)
+    more = docs.selectExpr("*", "1 AS _n", "2 AS _t", "3 AS _words", "4 AS _lines", "5 AS _nw", "6 AS _nl", "7 AS _text", "8 AS _s_upper", "9 AS _row")
+    left = quality.kept(more, rules)
+    assert left.columns == more.columns and left.count() == sum(w[-1] for w in want)
+
+
 def test_scores_of_awkward_rows(spark, docs):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 0)], "doc_id long, quality int")
     for some in (labels, labels.where("false")):
