@@ -500,6 +500,40 @@ def test_licences(spark):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "MIT", 4: "BSD-3-Clause", 5: "", 6: "", 7: "MPL-2.0", 8: "", 9: "", None: "CC-BY-NC-4.0", 10: ""}
 
 
+def plain_scan(text):
+    """Rules found by walking each text's sentences, without patterns over codes."""
+    clean = re.sub(r"[^A-Za-z0-9\n.;:!?]+", " ", re.sub(r"(?m)^[ \t]*(//+|#+|\*+|--+|/\*+|<!--)[ \t]*", "", text or "")).lower()
+    joined = re.sub(" +", " ", re.sub(r"\n *\n[ \n]*", "! ", clean).replace("\n", " "))
+    found = set()
+    for cut in (re.split(r"[.;:!?]+(?: |\n|$)|\n", clean), re.split(r"[.;:!?]+(?: |$)", joined)):
+        units = [s.strip(" ") for s in cut if s.strip(" ")]
+        units = [re.sub("^neither the name of .* nor the names of (its|their) contributors may", "neither the name of the copyright holder nor the names of its contributors may", s) for s in units]
+        known = {x for _, lines in licences.RULES.values() for line in lines for x in licences.sentences(line)}
+        for name, (_, lines) in licences.RULES.items():
+            want = [x for line in lines for x in licences.sentences(line)]
+            at = {i for i, u in enumerate(units) if u == want[0]}
+            for x in want[1:]:
+                at = {j for i in at for j in range(i + 1, min(len(units), i + 4)) if units[j] == x and not any(u in known for u in units[i + 1 : j])}
+            if at:
+                found.add(name)
+    return sorted(found)
+
+
+def test_rules_equal_a_plain_walk(spark):
+    rng = random.Random(12)
+    every = [line for _, lines in licences.RULES.values() for line in lines] + ["Neither the name of the Bird Society nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    rows = []
+    for i, (_, lines) in enumerate(licences.RULES.values()):
+        rows += [(3 * i, "Intro.\n" + "\n".join(lines)), (3 * i + 1, "/* " + " ".join(f"{x} Other words." for x in lines)), (3 * i + 2, "# " + "\n# ".join(re.findall(r".{1,50}(?:\s|$)", " ".join(lines))))]
+    for i in range(300):
+        rows.append((1000 + i, rng.choice(["\n", " "]).join(rng.choice([*every, "Some prose.", "Numbers 12 and 34!", "x"]) for _ in range(rng.randint(0, 9)))))
+    bsd = licences.RULES["bsd-3-text"][1]
+    rows.append((5000, "\n".join([*bsd[:3], every[-1], bsd[4]])))
+    got = {r["doc_id"]: r["rules"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ",".join(plain_scan(t)) for i, t in rows}
+    assert got[5000] == "bsd-3-text" and {x for r in got.values() for x in r.split(",")} >= set(licences.RULES)
+
+
 def test_licence_scan_of_awkward_rows(docs):
     assert licences.scan(docs).count() == len(ROWS)
     assert licences.scan(docs.where("false")).count() == 0
