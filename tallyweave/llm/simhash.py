@@ -232,9 +232,9 @@ def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
     return fps.join(label.select("fp", "label").join(least, "label"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Similarity search: least bits of a band, texts aimed at for a value of a band, chance that a pair of similarity 0.8 meets in none,
+#: Similarity search: texts aimed at for a value of a band, chance that a pair of similarity 0.8 meets in none,
 #: most differing bits of a pair looked at (3.6 standard deviations beyond those of such a pair), bins of a profile.
-BAND_BITS, BAND_AIM, MISSED, FAR_BITS, BINS = 10, 1024, 0.01, 21, 128
+BAND_AIM, MISSED, FAR_BITS, BINS = 256, 0.003, 21, 128
 #: Bytes of shingle sets in a part of a group of candidates; pairs whose profiles are compared at once.
 PART_BYTES, ROWS_AT_ONCE = 32 << 20, 1 << 14
 
@@ -243,7 +243,9 @@ def bands(n: int) -> list[list[int]]:
     """Random choices of bits to meet on: with more texts more bits, so that a
     value's texts stay few, and as many more choices as a pair needs that
     differs in one bit of six (similarity 0.8)."""
-    bits = max(BAND_BITS, math.ceil(math.log2(max(1, n / BAND_AIM))))
+    bits = math.ceil(math.log2(max(1, n / BAND_AIM)))
+    if not bits:
+        return [[]]
     rng = np.random.default_rng(SEED)
     return [rng.choice(64, bits, replace=False).tolist() for _ in range(math.ceil(math.log(MISSED) / math.log1p(-((5 / 6) ** bits))))]
 

@@ -166,21 +166,6 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want.select(*cols).fetchall()))
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    sizes = [docs.count()]
-    now = docs
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, DATA)
-        if name != "sharding":
-            assert now.columns == docs.columns
-        now = spark.createDataFrame(now.collect(), now.schema)
-        sizes.append(now.count())
-    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] <= sizes[4] == sizes[5]
-    assert corpus_pipeline.run(spark, DATA).count() == sizes[-1]
-
-
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
