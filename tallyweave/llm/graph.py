@@ -16,12 +16,14 @@ BUSY, BUSY_NODES = 1000, 1000
 def _beside_least(edges: DataFrame, n: int) -> DataFrame:
     """``edges`` with ``m``, the least b of each a.  A busy node's edges stay
     where they are: such nodes are at most BUSY_NODES, and are broadcast.
-    ``n``: about how many edges there are."""
+    ``n``: how many edges there are at most."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     most = max(BUSY, n // BUSY_NODES)
-    busy = least.where(F.col("n") > most).drop("n")
-    others = edges.join(F.broadcast(busy.select("a")), "a", "left_anti").join(least.where(F.col("n") <= most).drop("n"), "a")
-    return others.unionByName(edges.join(F.broadcast(busy), "a"))
+    busy = [tuple(r) for r in least.where(F.col("n") > most).select("a", "m").collect()]
+    if not busy:
+        return edges.join(least.drop("n"), "a")
+    sent = F.broadcast(edges.sparkSession.createDataFrame(busy, "a long, m long"))
+    return edges.join(sent.select("a"), "a", "left_anti").join(least.drop("n"), "a").unionByName(edges.join(sent, "a"))
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:

@@ -40,6 +40,8 @@ WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT = 8
 #: Node pairs followed at once; fingerprints of a group that one task takes; of a group that meets again on other blocks.
 FRONTIER, PART, CROWD = 1 << 19, 1024, 16_384
+#: Groups whose sizes are broadcast at most (some 20 bytes each).
+MOST_SENT = 100_000
 #: Fingerprints aimed at for a group when choosing blocks.
 GROUP_AIM = 8192
 #: Rows of whole groups that a similarity search takes at once.
@@ -155,11 +157,18 @@ class GrayIndex:
                 todo.append((level - 1, x[near], y[near]))
 
 
-def _parted(met: DataFrame, group: list[str], node: str, carry: list[str]) -> DataFrame:
+def _beside(few: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if it is small, dealt by its keys if not."""
+    return F.broadcast(few) if few.count() <= MOST_SENT else few
+
+
+def _parted(met: DataFrame, codes: DataFrame, group: list[str], node: str, carry: list[str]) -> DataFrame:
     """``met`` with ``key``, one for each group of at most PART rows; larger
-    groups are split in parts, with a key for each two of them."""
-    sizes = met.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    met = met.join(sizes.select(*group, F.ceil(F.col("n") / PART).cast("int").alias("parts")), group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    groups are split in parts, with a key for each two of them.  ``codes``:
+    the groups of the same rows alone."""
+    sizes = codes.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    parts = _beside(written(sizes.select(*group, F.ceil(F.col("n") / PART).cast("int").alias("parts")), "parts"))
+    met = met.join(parts, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = met.withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return met.select(F.xxhash64(*group, F.least("part", "other"), F.greatest("part", "other")).alias("key"), *carry)
 
@@ -207,9 +216,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     met = fps.select("fp").mapInArrow(meet, "way int, value long, fp long")
     # Crowds: at most a CROWD-th of all meetings.
-    crowds = met.groupBy("way", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("way", "value")
+    crowds = _beside(written(met.groupBy("way", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("way", "value"), "crowds"))
     met = met.join(crowds, ["way", "value"], "left_anti").unionByName(met.join(crowds, ["way", "value"], "left_semi").select("way", "value", "fp").mapInArrow(meet_again, "way int, value long, fp long"))
-    met = _parted(met, ["way", "value"], "fp", ["fp"])
+    met = _parted(met, met, ["way", "value"], "fp", ["fp"])
 
     def join(batches):
         for keys, fp in _shards(batches, SHARD):
@@ -234,7 +243,7 @@ def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
 
 #: Similarity search: texts aimed at for a value of a band, chance that a pair of similarity 0.8 meets in none,
 #: most differing bits of a pair looked at (3.6 standard deviations beyond those of such a pair), bins of a profile.
-BAND_AIM, MISSED, FAR_BITS, BINS = 256, 0.003, 21, 128
+BAND_AIM, MISSED, FAR_BITS, BINS = 256, 0.003, 21, 64
 #: Bytes of shingle sets in a part of a group of candidates; pairs whose profiles are compared at once.
 PART_BYTES, ROWS_AT_ONCE = 32 << 20, 1 << 14
 
@@ -260,23 +269,29 @@ def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
 
 def profiled(h: np.ndarray) -> tuple[int, bytes]:
     """The fingerprint of a set of shingles (repeats count once, as in its
-    similarity), and a profile of the set: in each of BINS ranges of hashes the
-    least one, as a byte (0: none)."""
+    similarity), and a profile of the set: in each of BINS ranges of hashes
+    four bits of the least one."""
     if not len(h):
-        return 0, bytes(BINS)
+        return 0, bytes(BINS // 2)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    bins = (h >> np.uint64(57)).astype(np.int64)
+    bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
     profile = np.zeros(BINS, np.uint8)
-    profile[bins[first]] = h[first] % np.uint64(255) + np.uint64(1)
-    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"), profile.tobytes()
+    profile[bins[first]] = h[first] % np.uint64(15) + np.uint64(1)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big"), (profile[::2] << 4 | profile[1::2]).tobytes()
+
+
+def opened(profiles) -> np.ndarray:
+    """Profiles as a matrix, a column for each bin (0: no hash)."""
+    packed = np.frombuffer(b"".join(profiles), np.uint8).reshape(-1, BINS // 2)
+    return np.stack((packed >> 4, packed & 15), axis=2).reshape(-1, BINS)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of profiles, row by row."""
-    some = (a != 0) | (b != 0)
+    """Estimated Jaccard similarity of profiles, row by row (a little above it: one in 15 unlike bins agrees by chance)."""
+    some = (a | b) != 0
     return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
 
 
@@ -334,7 +349,7 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
         def done():
             if len(held) > 1:
                 node = np.array([x[1] for x in held])
-                profile = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(-1, BINS)
+                profile = opened(x[2] for x in held)
                 labels = exact_labels([np.frombuffer(x[3], np.uint64) for x in held], profile, np.array([x[0] for x in held]), held_key[1] != held_key[2], least)
                 linked = np.flatnonzero(labels != np.arange(len(held)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
@@ -386,17 +401,18 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
 
     def spread(batches):
         for b in batches:
-            fp = b.column(1).to_numpy().view(np.uint64)
+            fp = b.column(0).to_numpy().view(np.uint64)
             for i, bits in enumerate(chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(values(fp, bits)), *b.columns[:3]], ["band", "value", "node", "fp", "profile"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(values(fp, bits)), *b.columns], ["band", "value", *b.schema.names])
 
-    met = nodes.select("node", "fp", "profile").mapInArrow(spread, "band int, value long, node long, fp long, profile binary")
-    met = _parted(met, ["band", "value"], "node", ["node", "fp", "profile"])
+    met = nodes.select("fp", "node", "profile").mapInArrow(spread, "band int, value long, fp long, node long, profile binary")
+    codes = nodes.select("fp").mapInArrow(spread, "band int, value long, fp long")
+    met = _parted(met, codes, ["band", "value"], "node", ["node", "fp", "profile"])
     enough = loose(least)
 
     def join(batches):
         for keys, node, fp, profile in _shards(batches, SHARD):
-            profile = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, BINS)
+            profile = opened(profile)
             labels = np.arange(len(fp))
             for i, j in GrayIndex(keys, fp.view(np.uint64)).links(FAR_BITS):
                 for s in range(0, len(i), 1 << 14):
