@@ -25,6 +25,15 @@ def free_name(name: str, df: DataFrame) -> str:
     return name
 
 
+#: Rows of a few keys and numbers that are broadcast at most (some 10 MB).
+MOST_SENT = 200_000
+
+
+def beside(few: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if it is small, dealt by its keys if not."""
+    return F.broadcast(few) if few.count() <= MOST_SENT else few
+
+
 def smallest(df: DataFrame, draw: Column, then: list[str], k: int) -> DataFrame:
     """The ``k`` rows with the smallest ``draw`` (evenly spread over all 64-bit
     integers), ties by ``then``.  Rows of a larger draw than these can have

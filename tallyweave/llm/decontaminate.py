@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batch_rows, dropped, free_name, planes, table, unplanes, written
+from .common import batch_rows, beside, dropped, free_name, planes, table, unplanes, written
 
 WINDOW, REACH = 10, 256
 #: Bytes of benchmark text in a broadcast block; bytes of text in a segment; windows, and places of their rarest terms, handled at once.
@@ -358,7 +358,7 @@ def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     key = free_name("_row", df)
     rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
     bad = contamination(rows, benchmark, id_col=key, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias(key))
-    return rows.join(bad, key, "left_anti").select(*df.columns)
+    return rows.join(beside(written(bad, "bad")), key, "left_anti").select(*df.columns)
 
 
 def op3_decontamination(spark, sf_dir):

@@ -33,15 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, dropped, free_name, release_shuffles, table, written
+from .common import batch_rows, beside, dropped, free_name, release_shuffles, table, written
 from .graph import connected_components, local_components
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 FANOUT = 8
 #: Node pairs followed at once; fingerprints of a group that one task takes; of a group that meets again on other blocks.
 FRONTIER, PART, CROWD = 1 << 19, 1024, 16_384
-#: Groups whose sizes are broadcast at most (some 20 bytes each).
-MOST_SENT = 100_000
 #: Fingerprints aimed at for a group when choosing blocks.
 GROUP_AIM = 8192
 #: Rows of whole groups that a similarity search takes at once.
@@ -157,17 +155,12 @@ class GrayIndex:
                 todo.append((level - 1, x[near], y[near]))
 
 
-def _beside(few: DataFrame) -> DataFrame:
-    """A written table as the side of a join: broadcast if it is small, dealt by its keys if not."""
-    return F.broadcast(few) if few.count() <= MOST_SENT else few
-
-
 def _parted(met: DataFrame, codes: DataFrame, group: list[str], node: str, carry: list[str]) -> DataFrame:
     """``met`` with ``key``, one for each group of at most PART rows; larger
     groups are split in parts, with a key for each two of them.  ``codes``:
     the groups of the same rows alone."""
     sizes = codes.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    parts = _beside(written(sizes.select(*group, F.ceil(F.col("n") / PART).cast("int").alias("parts")), "parts"))
+    parts = beside(written(sizes.select(*group, F.ceil(F.col("n") / PART).cast("int").alias("parts")), "parts"))
     met = met.join(parts, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = met.withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return met.select(F.xxhash64(*group, F.least("part", "other"), F.greatest("part", "other")).alias("key"), *carry)
@@ -216,7 +209,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     met = fps.select("fp").mapInArrow(meet, "way int, value long, fp long")
     # Crowds: at most a CROWD-th of all meetings.
-    crowds = _beside(written(met.groupBy("way", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("way", "value"), "crowds"))
+    crowds = beside(written(met.groupBy("way", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("way", "value"), "crowds"))
     met = met.join(crowds, ["way", "value"], "left_anti").unionByName(met.join(crowds, ["way", "value"], "left_semi").select("way", "value", "fp").mapInArrow(meet_again, "way int, value long, fp long"))
     met = _parted(met, met, ["way", "value"], "fp", ["fp"])
 
@@ -436,7 +429,8 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
 
     # A node stands for one set of shingles; its first row has the text.
     with batch_rows(spark, 1000):
-        texts = rows.join(nodes.join(groups, "node").select("component", "node", "profile", "_row"), "_row").select("component", "node", "profile", "text")
+        asked = beside(written(nodes.join(groups, "node").select("component", "node", "profile", "_row"), "asked"))
+        texts = rows.join(asked, "_row").select("component", "node", "profile", "text")
         candidates = written(texts.mapInArrow(sets, "component long, node long, profile binary, shingles binary"), "candidates")
         links = written(_verified(candidates, least), "verified")
     dropped(candidates)
@@ -452,8 +446,9 @@ def deduplicated(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
     labels = _labelled(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("_row")), words, least)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = labels.groupBy("label").agg(first.alias("first")).select(F.col("first._row").alias(key))
-    return rows.join(stay, key, "left_semi").select(*df.columns)
+    several = labels.groupBy("label").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("label", F.col("first._row").alias("first"))
+    gone = labels.join(several, "label").where("_row <> first").select(F.col("_row").alias(key))
+    return rows.join(beside(written(gone, "gone")), key, "left_anti").select(*df.columns)
 
 
 def op7_simhash(spark, sf_dir):
