@@ -1,4 +1,4 @@
-"""Sketch parameters."""
+"""Summary parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
-class SketchConfig:
+class SummaryConfig:
     """rows x length counters, top-``k``; change mode ships at ``threshold``,
     periodic mode every ``interval`` items of a worker; ``alpha``: share of
     all items that makes a key heavy."""
@@ -21,21 +21,21 @@ class SketchConfig:
     alpha: float = 0.0002
     flush_residual: bool = False
 
-    def but(self, **changes) -> SketchConfig:
+    def but(self, **changes) -> SummaryConfig:
         return replace(self, **changes)
 
 
-CM = SketchConfig()
-COUNT = SketchConfig()
-COCO = SketchConfig(rows=2, threshold=31, interval=100_000)
-UNIVMON = SketchConfig(levels=6, interval=40_000)
-REGISTERS = SketchConfig(rows=1, threshold=0, interval=10_000, alpha=0.0)
-DD = SketchConfig(rows=1, threshold=15, interval=10_000, alpha=0.0)
-SPREAD = SketchConfig(k=255, threshold=1, interval=60_000, alpha=0.00001)
+CM = SummaryConfig()
+COUNT = SummaryConfig()
+KEYED = SummaryConfig(rows=2, threshold=31, interval=100_000)
+LEVELS = SummaryConfig(levels=6, interval=40_000)
+REGISTERS = SummaryConfig(rows=1, threshold=0, interval=10_000, alpha=0.0)
+DD = SummaryConfig(rows=1, threshold=15, interval=10_000, alpha=0.0)
+SPREAD = SummaryConfig(k=255, threshold=1, interval=60_000, alpha=0.00001)
 
 
 @dataclass(frozen=True)
-class ElasticConfig(SketchConfig):
+class HeavyConfig(SummaryConfig):
     """Heavy buckets of ``slots`` slots beside a light array of ``light`` cells."""
 
     buckets: int = 767
@@ -44,7 +44,7 @@ class ElasticConfig(SketchConfig):
     threshold: int = 31
 
 
-ELASTIC = ElasticConfig()
+HEAVY = HeavyConfig()
 
 #: Live bindings: the same operators with other thresholds.  ``strict``: a cell ships above its threshold, not at it.
 NIC = {"first": 8, "least": 7, "most": 63, "every": 64, "low": 96, "high": 160, "gap": 32}

@@ -1,4 +1,4 @@
-"""The 32-bit mixing hash that all sketches use.
+"""The 32-bit mixing hash that all summaries use.
 
 Columns are built in stages, one projection after another, so that each step
 refers to an attribute; written as one expression, every xor-shift would copy

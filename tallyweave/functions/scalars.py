@@ -1,4 +1,4 @@
-"""Scalar expressions of the sketches."""
+"""Scalar expressions of the summaries."""
 
 from __future__ import annotations
 

@@ -1,7 +1,7 @@
-"""Sketches as DataFrames of cells: what all of them share.
+"""Summaries as DataFrames of cells: what all of them share.
 
 A cell absent from a table is zero.  Building never shuffles keys: each task
-aggregates its own rows into cells first, so at most the sketch's own size
+aggregates its own rows into cells first, so at most the summary's own size
 leaves a task, however many rows or however heavy a key.
 """
 
@@ -19,7 +19,7 @@ def exploded(df: DataFrame, structs: list[Column], *keep: str) -> DataFrame:
 
 
 def merged_sum(*cells: DataFrame, value: str = "value") -> DataFrame:
-    """The cells of the union of what the sketches saw (additive counters)."""
+    """The cells of the union of what the summaries saw (additive counters)."""
     keys = [c for c in cells[0].columns if c != value]
     return reduce(DataFrame.unionByName, cells).groupBy(*keys).agg(F.sum(value).alias(value))
 
@@ -38,7 +38,7 @@ def apply_deltas(cells: DataFrame, deltas: DataFrame, value: str = "value") -> D
 def looked_up(keys: DataFrame, cells: DataFrame, structs: list[Column], keep: tuple, value: str = "value") -> DataFrame:
     """(keep..., the structs' fields, the cell's value): each key beside its
     cells.  ``structs`` give (row, pos, ...) and ``keep`` the key, with its level
-    if cells have one.  The cells are built and broadcast once; a sketch row has
+    if cells have one.  The cells are built and broadcast once; a summary row has
     ``length`` of them, at most 65536 by default (times the levels), whatever
     the data.  Keys stay where they are, so a later aggregation by key does not
     shuffle them again."""

@@ -1,4 +1,4 @@
-"""Exact answers, the truth that sketches are measured against."""
+"""Exact answers, the truth that summaries are measured against."""
 
 from __future__ import annotations
 

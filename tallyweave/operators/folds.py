@@ -1,4 +1,4 @@
-"""Sketches whose cells depend on arrival order, as sorted streams.
+"""Summaries whose cells depend on arrival order, as sorted streams.
 
 Rows are dealt by group and sorted inside their partition by Spark (which
 spills); a fold then walks them once, keeping one group's state.  Nothing is
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import COCO, ELASTIC, ElasticConfig, SketchConfig
+from ..config import KEYED, HEAVY, HeavyConfig, SummaryConfig
 from ..functions.hashing import LIGHT_SEED, hash_key, hash_value
 from .topk import top_k
 
@@ -48,13 +48,14 @@ def _none(*_):
     return ()
 
 
-# Count and universal sketch, change mode ---------------------------------------------------------------------------
+# Count and universal summary, change mode ---------------------------------------------------------------------------
 
 
-def signed_deltas(items: DataFrame, groups: list[str], order: list[str], threshold: int, flush: bool = False) -> DataFrame:
+def signed_deltas(items: DataFrame, groups: list[str], order: list[str], threshold: int, flush: bool = False, strict: bool = False) -> DataFrame:
     """What cells ship of a walk of +1 and -1: a cell that reaches ``threshold``
-    in the direction of its latest step ships its value and starts anew.
-    (groups..., value) a shipment."""
+    (``strict``: exceeds it) in the direction of its latest step ships its
+    value and starts anew.  (groups..., value) a shipment."""
+    threshold += strict
 
     def start(group):
         return [group, 0]
@@ -75,7 +76,7 @@ def signed_deltas(items: DataFrame, groups: list[str], order: list[str], thresho
 # Two candidate cells for each key --------------------------------------------------------------------------------
 
 
-class Coco:
+class KeyedCells:
     """One worker's key-carrying cells; replacement draws from a generator seeded by the worker."""
 
     def __init__(self, worker: int):
@@ -97,46 +98,48 @@ class Coco:
         return i, pos[i]
 
 
-def _coco_positions(df: DataFrame, cfg: SketchConfig) -> DataFrame:
+def _keyed_positions(df: DataFrame, cfg: SummaryConfig) -> DataFrame:
     h = hash_key(df, "key", {"_h": 0})
     return h.withColumns({"p0": (F.col("_h").bitwiseAND(F.lit(0xFFFF)) % cfg.length).cast("int"), "p1": (F.shiftright("_h", 16) % cfg.length).cast("int")}).drop("_h")
 
 
-_COCO = "worker int, row int, pos int, key long, value long"
+_KEYED = "worker int, row int, pos int, key long, value long"
 
 
-def _coco_rows(state: Coco):
+def _keyed_rows(state: KeyedCells):
     return [(state.worker, i, p, k, v) for i in (0, 1) for p, (k, v) in state.cells[i].items() if v]
 
 
-def coco_build(df: DataFrame, order: list[str], cfg: SketchConfig = COCO) -> DataFrame:
+def keyed_build(df: DataFrame, order: list[str], cfg: SummaryConfig = KEYED) -> DataFrame:
     """(worker, row, pos, key, value): each worker's cells.  ``df``: key, worker, order columns."""
 
     def step(state, key, p0, p1):
         state.add(key, (p0, p1))
         return ()
 
-    return fold_sorted(_coco_positions(df, cfg), ["worker"], order, ["key", "p0", "p1"], lambda g: Coco(g[0]), step, _coco_rows, _COCO)
+    return fold_sorted(_keyed_positions(df, cfg), ["worker"], order, ["key", "p0", "p1"], lambda g: KeyedCells(g[0]), step, _keyed_rows, _KEYED)
 
 
-def coco_merge(cells: DataFrame) -> DataFrame:
-    """Cells of several sketches as one: counters add up, and of the keys one
+def keyed_merge(cells: DataFrame) -> DataFrame:
+    """Cells of several summaries as one: counters add up, and of the keys one
     stays with a chance proportional to its counter (exponential races, drawn
     from a hash of key and cell)."""
     u = (F.pmod(F.xxhash64("key", "row", "pos"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
     return cells.groupBy("row", "pos", "key").agg(F.sum("value").alias("value")).groupBy("row", "pos").agg(F.min_by("key", -F.ln(u) / F.col("value")).alias("key"), F.sum("value").alias("value"))
 
 
-def coco_query(cells: DataFrame) -> DataFrame:
+def keyed_query(cells: DataFrame) -> DataFrame:
     """(key, est): a key that holds two cells gets their sum; empty cells hold none."""
     return cells.groupBy("key").agg(F.sum("value").cast("int").alias("est"))
 
 
-def coco_deltas(df: DataFrame, order: list[str], threshold: int, cfg: SketchConfig = COCO) -> DataFrame:
-    """(worker, n, key, value): shipments in each worker's order.  The key stays in the cell."""
+def keyed_deltas(df: DataFrame, order: list[str], threshold: int, cfg: SummaryConfig = KEYED, strict: bool = False) -> DataFrame:
+    """(worker, n, key, value): shipments in each worker's order, at the
+    threshold (``strict``: above it).  The key stays in the cell."""
+    threshold += strict
 
     def start(group):
-        state = Coco(group[0])
+        state = KeyedCells(group[0])
         state.sent = 0
         return state
 
@@ -148,19 +151,19 @@ def coco_deltas(df: DataFrame, order: list[str], threshold: int, cfg: SketchConf
             state.sent += 1
             cell[1] = 0
 
-    return fold_sorted(_coco_positions(df, cfg), ["worker"], order, ["key", "p0", "p1"], start, step, _none, "worker int, n long, key long, value long")
+    return fold_sorted(_keyed_positions(df, cfg), ["worker"], order, ["key", "p0", "p1"], start, step, _none, "worker int, n long, key long, value long")
 
 
-def coco_apply(deltas: DataFrame, cfg: SketchConfig = COCO, shards: int = 16) -> DataFrame:
+def keyed_apply(deltas: DataFrame, cfg: SummaryConfig = KEYED, shards: int = 16) -> DataFrame:
     """The parent's cells from shipments, in order of (n, worker).  Shipments
-    are dealt by key over parents that are merged like any sketches."""
-    at = _coco_positions(deltas, cfg).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    are dealt by key over parents that are merged like any summaries."""
+    at = _keyed_positions(deltas, cfg).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
     def step(state, key, value, p0, p1):
         state.add(key, (p0, p1), value)
         return ()
 
-    return coco_merge(fold_sorted(at, ["shard"], ["n", "worker"], ["key", "value", "p0", "p1"], lambda g: Coco(g[0]), step, _coco_rows, _COCO))
+    return keyed_merge(fold_sorted(at, ["shard"], ["n", "worker"], ["key", "value", "p0", "p1"], lambda g: KeyedCells(g[0]), step, _keyed_rows, _KEYED))
 
 
 # Heavy buckets beside a light array -------------------------------------------------------------------------------
@@ -198,16 +201,16 @@ class Bucket:
             yield key, weight
 
 
-def _bucketed(df: DataFrame, cfg: ElasticConfig) -> DataFrame:
+def _bucketed(df: DataFrame, cfg: HeavyConfig) -> DataFrame:
     return hash_key(df, "key", {"_h": 0}).withColumn("bucket", (F.col("_h") % cfg.buckets).cast("int")).drop("_h")
 
 
-def light_cells(light: DataFrame, cfg: ElasticConfig = ELASTIC) -> DataFrame:
+def light_cells(light: DataFrame, cfg: HeavyConfig = HEAVY) -> DataFrame:
     """(pos, value) of (key, value) that went to the light array."""
     return hash_key(light.groupBy("key").agg(F.sum("value").alias("value")), "key", {"_h": LIGHT_SEED}).select((F.col("_h") % cfg.light).cast("int").alias("pos"), "value").groupBy("pos").agg(F.sum("value").alias("value"))
 
 
-def elastic_build(df: DataFrame, order: list[str], cfg: ElasticConfig = ELASTIC, by: tuple = ()) -> DataFrame:
+def heavy_build(df: DataFrame, order: list[str], cfg: HeavyConfig = HEAVY, by: tuple = ()) -> DataFrame:
     """(by..., bucket, slot, key, value): the slots of each bucket, and with slot -1 what went to the light array."""
     n = len(by)
 
@@ -223,8 +226,8 @@ def elastic_build(df: DataFrame, order: list[str], cfg: ElasticConfig = ELASTIC,
     return fold_sorted(_bucketed(df, cfg), [*by, "bucket"], order, ["key"], lambda g: Bucket(g, cfg.slots), step, finish, schema)
 
 
-def elastic_merge(parts: DataFrame, order: list[str], cfg: ElasticConfig = ELASTIC) -> DataFrame:
-    """Several sketches as one, in the given order: slots are counted into the
+def heavy_merge(parts: DataFrame, order: list[str], cfg: HeavyConfig = HEAVY) -> DataFrame:
+    """Several summaries as one, in the given order: slots are counted into the
     buckets with their weight, light parts stay light."""
 
     def step(state, key, value):
@@ -239,7 +242,7 @@ def elastic_merge(parts: DataFrame, order: list[str], cfg: ElasticConfig = ELAST
     return heavy.unionByName(parts.where("slot < 0").select("bucket", "slot", "key", "value"))
 
 
-def elastic_query(parts: DataFrame, cfg: ElasticConfig = ELASTIC) -> DataFrame:
+def heavy_query(parts: DataFrame, cfg: HeavyConfig = HEAVY) -> DataFrame:
     """(key, est): a slot's count and its key's light cell."""
     light = light_cells(parts.where("slot < 0").select("key", "value"), cfg)
     heavy = parts.where("slot >= 0").groupBy("key").agg(F.sum("value").alias("value"))
@@ -247,7 +250,7 @@ def elastic_query(parts: DataFrame, cfg: ElasticConfig = ELASTIC) -> DataFrame:
     return at.join(light.withColumnRenamed("value", "_light"), "pos", "left").select("key", (F.col("value") + F.coalesce("_light", F.lit(0))).cast("int").alias("est"))
 
 
-def elastic_deltas(df: DataFrame, order: list[str], threshold: int, cfg: ElasticConfig = ELASTIC) -> DataFrame:
+def heavy_deltas(df: DataFrame, order: list[str], threshold: int, cfg: HeavyConfig = HEAVY) -> DataFrame:
     """(worker, bucket, n, heavy, key, value): what each worker ships.  Slots
     and light cells ship at the threshold; a shipped slot keeps its key with
     count zero, so the next other key takes it without a transfer."""
@@ -281,9 +284,9 @@ def elastic_deltas(df: DataFrame, order: list[str], threshold: int, cfg: Elastic
     return out.where("heavy").unionByName(shipped)
 
 
-def elastic_apply(deltas: DataFrame, cfg: ElasticConfig = ELASTIC) -> DataFrame:
+def heavy_apply(deltas: DataFrame, cfg: HeavyConfig = HEAVY) -> DataFrame:
     """The parent's parts from shipments in order of (n, worker)."""
-    return elastic_merge(deltas.select("bucket", F.when(F.col("heavy"), F.lit(0)).otherwise(F.lit(-1)).alias("slot"), "key", "value", "n", "worker"), ["n", "worker"], cfg)
+    return heavy_merge(deltas.select("bucket", F.when(F.col("heavy"), F.lit(0)).otherwise(F.lit(-1)).alias("slot"), "key", "value", "n", "worker"), ["n", "worker"], cfg)
 
 
 def numbered(df: DataFrame, order: list[str], by: str = "worker") -> DataFrame:
@@ -291,4 +294,4 @@ def numbered(df: DataFrame, order: list[str], by: str = "worker") -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-__all__ = ["Bucket", "Coco", "coco_apply", "coco_build", "coco_deltas", "coco_merge", "coco_query", "elastic_apply", "elastic_build", "elastic_deltas", "elastic_merge", "elastic_query", "fold_sorted", "hash_value", "light_cells", "numbered", "signed_deltas", "top_k"]
+__all__ = ["Bucket", "KeyedCells", "keyed_apply", "keyed_build", "keyed_deltas", "keyed_merge", "keyed_query", "heavy_apply", "heavy_build", "heavy_deltas", "heavy_merge", "heavy_query", "fold_sorted", "hash_value", "light_cells", "numbered", "signed_deltas", "top_k"]

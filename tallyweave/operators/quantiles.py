@@ -1,4 +1,4 @@
-"""Log-bucketed quantile sketch, exact quantiles, running totals and CDF."""
+"""Log-bucketed quantile summary, exact quantiles, running totals and CDF."""
 
 from __future__ import annotations
 
@@ -7,18 +7,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DD, SketchConfig
+from ..config import DD, SummaryConfig
 
 GAMMA = 1.001
 
 
-def bucket(value: Column, cfg: SketchConfig = DD) -> Column:
+def bucket(value: Column, cfg: SummaryConfig = DD) -> Column:
     """The value's bucket; 0 (whose logarithm is undefined) goes to the first, large values to the last."""
     v = value.cast("double")
     return F.when(v >= 1, F.least(F.lit(cfg.length - 1), F.floor(F.ln(v) / F.lit(math.log(GAMMA))))).otherwise(0).cast("int")
 
 
-def dd_build(df: DataFrame, cfg: SketchConfig = DD, by: tuple = ()) -> DataFrame:
+def dd_build(df: DataFrame, cfg: SummaryConfig = DD, by: tuple = ()) -> DataFrame:
     """(bucket, value) cells of the items ``key``."""
     return df.select(*by, bucket(F.col("key"), cfg).alias("bucket")).groupBy(*by, "bucket").agg(F.count("*").alias("value"))
 
@@ -40,8 +40,8 @@ def _permilles(run: DataFrame, n: str) -> DataFrame:
     return run.withColumns({"_a": low.cast("int"), "_b": F.least(high, F.lit(999)).cast("int")}).where("_a <= _b").withColumn("permille", F.explode(F.sequence("_a", "_b")))
 
 
-def dd_query(cells: DataFrame, cfg: SketchConfig = DD) -> DataFrame:
-    """(permille, value) for 0..999; no rows for an empty sketch.  There are
+def dd_query(cells: DataFrame, cfg: SummaryConfig = DD) -> DataFrame:
+    """(permille, value) for 0..999; no rows for an empty summary.  There are
     ``length`` cells at most."""
     value = F.floor(F.lit(2.0) * F.pow(F.lit(GAMMA), (F.col("bucket") + 1).cast("double")) / F.lit(1 + GAMMA)).cast("int")
     return _permilles(running(cells, "bucket", "value", 256), "value").select("permille", value.alias("value"))

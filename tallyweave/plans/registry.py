@@ -1,4 +1,4 @@
-"""The registered queries of the sketch engine and their SQL."""
+"""The registered queries of the summary engine and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ..config import CM, COCO, COUNT, DD, ELASTIC, REGISTERS, SPREAD, UNIVMON
+from ..config import CM, KEYED, COUNT, DD, HEAVY, REGISTERS, SPREAD, LEVELS
 from ..functions.hashing import hash_key, with_worker
 from ..operators import cardinality, evaluate, exact, folds, frequency, quantiles, spread
 from ..operators.cells import apply_deltas, merged_max, merged_sum
@@ -18,11 +18,12 @@ from . import modes, sql
 
 #: Small tables need few workers and low thresholds for anything to be shipped.
 SMALL = {"workers": 4, "threshold": 3, "interval": 500}
-CM_S, COUNT_S, UNIVMON_S, DD_S, REG_S, SPREAD_S = (c.but(**SMALL) for c in (CM, COUNT, UNIVMON, DD, REGISTERS, SPREAD))
-COCO_S, ELASTIC_S = COCO.but(**SMALL), ELASTIC.but(**SMALL, buckets=97, light=4096)
+CM_S, COUNT_S, LEVELS_S, DD_S, REG_S, SPREAD_S = (c.but(**SMALL) for c in (CM, COUNT, LEVELS, DD, REGISTERS, SPREAD))
+KEYED_S, HEAVY_S = KEYED.but(**SMALL), HEAVY.but(**SMALL, buckets=97, light=4096)
 SPREAD_S = SPREAD_S.but(threshold=1)
 HLL = REGISTERS.but(length=256)
-ALPHA = 0.0006
+#: A key of more than this share of all items is heavy: at sf0.1 about half the suppliers.
+ALPHA = 0.001
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,8 +48,8 @@ _PARTS, _PART_KEYS = sql.PARTS, f"SELECT DISTINCT key FROM ({sql.PARTS})"
 
 @query(sql.top(sql.cm_query(sql.cm_build(_PARTS), _PART_KEYS), CM.k))
 def cm_topk(spark, d):
-    parts = streams.part_keys(spark, d)
-    return top_k(frequency.cm_query(frequency.cm_build(parts), _keys(parts)), CM.k)
+    counts = exact.frequency(streams.part_keys(spark, d))
+    return top_k(frequency.cm_query(frequency.cm_build(counts, weight="cnt"), counts), CM.k)
 
 
 @query(f"SELECT key, h0::BIGINT AS h0, h101::BIGINT AS h101 FROM ({sql.hashed(_PART_KEYS, {'h0': 0, 'h101': 101})})")
@@ -89,8 +90,8 @@ def count_cells(spark, d):
 
 @query(sql.top(sql.count_query(sql.count_build(_PARTS), _PART_KEYS), COUNT.k))
 def count_topk(spark, d):
-    parts = streams.part_keys(spark, d)
-    return top_k(frequency.count_query(frequency.count_build(parts), _keys(parts)), COUNT.k)
+    counts = exact.frequency(streams.part_keys(spark, d))
+    return top_k(frequency.count_query(frequency.count_build(counts, weight="cnt"), counts), COUNT.k)
 
 
 @query(sql.count_build(sql.epochs(_PARTS, sql.PART_ORDER, COUNT_S)))
@@ -98,30 +99,38 @@ def count_periodic(spark, d):
     return modes.periodic(streams.part_keys(spark, d), PART_ORDER, COUNT_S, frequency.count_build)
 
 
-@query()
+_USER_SIGNS = sql.count_items(sql.worker(sql.USERS, 4), keep="worker, event_id,")
+
+
+@query(sql.signed_change(_USER_SIGNS, "row, pos", "event_id", 3))
 def count_change(spark, d):
     return modes.count_change(streams.user_keys(spark, d), USER_ORDER, COUNT_S)
 
 
-@query(sql.univmon_build(_PARTS))
-def univmon_cells(spark, d):
-    return frequency.univmon_build(streams.part_keys(spark, d))
+@query(sql.signed_change(_USER_SIGNS, "row, pos", "event_id", 4))
+def count_change_kernel(spark, d):
+    return modes.count_change(streams.user_keys(spark, d), USER_ORDER, COUNT_S, strict=True)
 
 
-@query(sql.univmon_topk(_PARTS))
-def univmon_topk(spark, d):
-    parts = streams.part_keys(spark, d)
-    return frequency.univmon_query(frequency.univmon_build(parts), _keys(parts))
+@query(sql.levels_build(_PARTS))
+def levels_cells(spark, d):
+    return frequency.levels_build(streams.part_keys(spark, d))
 
 
-@query(sql.univmon_build(sql.epochs(_PARTS, sql.PART_ORDER, UNIVMON_S)))
-def univmon_periodic(spark, d):
-    return modes.periodic(streams.part_keys(spark, d), PART_ORDER, UNIVMON_S, frequency.univmon_build)
+@query(sql.levels_topk(_PARTS))
+def levels_topk(spark, d):
+    counts = exact.frequency(streams.part_keys(spark, d))
+    return frequency.levels_query(frequency.levels_build(counts, weight="cnt"), counts)
 
 
-@query()
-def univmon_change(spark, d):
-    return modes.univmon_change(streams.user_keys(spark, d), USER_ORDER, UNIVMON_S)
+@query(sql.levels_build(sql.epochs(_PARTS, sql.PART_ORDER, LEVELS_S)))
+def levels_periodic(spark, d):
+    return modes.periodic(streams.part_keys(spark, d), PART_ORDER, LEVELS_S, frequency.levels_build)
+
+
+@query(sql.signed_change(sql.levels_items(sql.worker(sql.USERS, 4), keep="worker, event_id,"), "level, row, pos", "event_id", 3))
+def levels_change(spark, d):
+    return modes.levels_change(streams.user_keys(spark, d), USER_ORDER, LEVELS_S)
 
 
 @query(sql.hll(sql.registers(_PARTS, HLL), HLL))
@@ -203,13 +212,40 @@ def spread_change(spark, d):
     return top_k(spread.spread_query(modes.spread_change(pairs, SPREAD_S), _sources(pairs), SPREAD, base=1), SPREAD.k)
 
 
-@query()
+_PAIR_ORDER = "l_orderkey, l_linenumber, src, dst"
+
+
+@query(sql.spread_cells(sql.epochs(sql.ORDERED_PAIRS, _PAIR_ORDER, SPREAD_S, dealt=sql.pair_worker)))
 def spread_periodic(spark, d):
     pairs = modes.pair_worker(streams.supply_pairs(spark, d), SPREAD_S.workers)
     return modes.periodic(pairs, ["l_orderkey", "l_linenumber", "src", "dst"], SPREAD_S, spread.spread_build, merged_max)
 
 
-# Unions of two halves' sketches equal the whole's ------------------------------------------------------------------
+# Live bindings number a worker's items from 0 -----------------------------------------------------------------------
+
+
+@query(sql.cm_build(sql.epochs(_PARTS, sql.PART_ORDER, CM_S, 0)))
+def cm_periodic_live(spark, d):
+    return modes.periodic(streams.part_keys(spark, d), PART_ORDER, CM_S, frequency.cm_build, first=0)
+
+
+@query(sql.count_build(sql.epochs(_PARTS, sql.PART_ORDER, COUNT_S, 0)))
+def count_periodic_live(spark, d):
+    return modes.periodic(streams.part_keys(spark, d), PART_ORDER, COUNT_S, frequency.count_build, first=0)
+
+
+@query(sql.levels_build(sql.epochs(_PARTS, sql.PART_ORDER, LEVELS_S, 0)))
+def levels_periodic_live(spark, d):
+    return modes.periodic(streams.part_keys(spark, d), PART_ORDER, LEVELS_S, frequency.levels_build, first=0)
+
+
+@query(sql.spread_cells(sql.epochs(sql.ORDERED_PAIRS, _PAIR_ORDER, SPREAD_S, 0, sql.pair_worker)))
+def spread_periodic_live(spark, d):
+    pairs = modes.pair_worker(streams.supply_pairs(spark, d), SPREAD_S.workers)
+    return modes.periodic(pairs, ["l_orderkey", "l_linenumber", "src", "dst"], SPREAD_S, spread.spread_build, merged_max, first=0)
+
+
+# Unions of two halves' summaries equal the whole's ------------------------------------------------------------------
 
 
 def _halves(df):
@@ -218,37 +254,37 @@ def _halves(df):
 
 
 @query(sql.cm_build(_PARTS))
-def sketch_union_cm(spark, d):
+def union_cm(spark, d):
     return merged_sum(*map(frequency.cm_build, _halves(streams.part_keys(spark, d))))
 
 
 @query(sql.count_build(_PARTS))
-def sketch_union_count(spark, d):
+def union_count(spark, d):
     return merged_sum(*map(frequency.count_build, _halves(streams.part_keys(spark, d))))
 
 
-@query(sql.univmon_build(_PARTS))
-def sketch_union_univmon(spark, d):
-    return merged_sum(*map(frequency.univmon_build, _halves(streams.part_keys(spark, d))))
+@query(sql.levels_build(_PARTS))
+def union_levels(spark, d):
+    return merged_sum(*map(frequency.levels_build, _halves(streams.part_keys(spark, d))))
 
 
 @query(sql.registers(_PARTS))
-def sketch_union_hll(spark, d):
+def union_hll(spark, d):
     return merged_max(*map(cardinality.register_build, _halves(streams.part_keys(spark, d))))
 
 
 @query(sql.ll(sql.registers(_PARTS)))
-def sketch_union_ll(spark, d):
+def union_ll(spark, d):
     return cardinality.ll_estimate(merged_max(*map(cardinality.register_build, _halves(streams.part_keys(spark, d)))))
 
 
 @query(sql.dd_build(sql.PRICES))
-def sketch_union_dd(spark, d):
+def union_dd(spark, d):
     return merged_sum(*map(quantiles.dd_build, _halves(streams.price_samples(spark, d))))
 
 
 @query(sql.spread_cells(sql.PAIRS))
-def sketch_union_spread(spark, d):
+def union_spread(spark, d):
     return merged_max(*map(spread.spread_build, _halves(streams.supply_pairs(spark, d))))
 
 
@@ -287,19 +323,22 @@ def exact_spread(spark, d):
     return exact.spread(streams.supply_pairs(spark, d))
 
 
-_FREQ = f"SELECT key, count(*) AS cnt FROM ({_PARTS}) GROUP BY key"
+_FREQ = f"SELECT key, count(*) AS cnt FROM ({sql.SUPPLIERS}) GROUP BY key"
+_SUPPLIER_KEYS = f"SELECT DISTINCT key FROM ({sql.SUPPLIERS})"
 
 
-@query(sql.accuracy(_FREQ, sql.top(sql.cm_query(sql.cm_build(_PARTS), _PART_KEYS), CM.k), ALPHA, "lineitem"))
+@query(sql.accuracy(_FREQ, sql.top(sql.cm_query(sql.cm_build(sql.SUPPLIERS), _SUPPLIER_KEYS), CM.k), ALPHA, "lineitem"))
 def accuracy_cm(spark, d):
-    parts = streams.part_keys(spark, d)
-    return evaluate.accuracy(exact.frequency(parts), cm_topk(spark, d), evaluate.threshold(parts.count(), ALPHA))
+    counts = exact.frequency(streams.supplier_keys(spark, d))
+    found = top_k(frequency.cm_query(frequency.cm_build(counts, weight="cnt"), counts), CM.k)
+    return evaluate.accuracy(counts, found, evaluate.threshold(streams.supplier_keys(spark, d).count(), ALPHA))
 
 
-@query(sql.accuracy(_FREQ, sql.top(sql.count_query(sql.count_build(_PARTS), _PART_KEYS), COUNT.k), ALPHA, "lineitem"))
+@query(sql.accuracy(_FREQ, sql.top(sql.count_query(sql.count_build(sql.SUPPLIERS), _SUPPLIER_KEYS), COUNT.k), ALPHA, "lineitem"))
 def accuracy_count(spark, d):
-    parts = streams.part_keys(spark, d)
-    return evaluate.accuracy(exact.frequency(parts), count_topk(spark, d), evaluate.threshold(parts.count(), ALPHA))
+    counts = exact.frequency(streams.supplier_keys(spark, d))
+    found = top_k(frequency.count_query(frequency.count_build(counts, weight="cnt"), counts), COUNT.k)
+    return evaluate.accuracy(counts, found, evaluate.threshold(streams.supplier_keys(spark, d).count(), ALPHA))
 
 
 @query(sql.accuracy("SELECT l_suppkey AS key, count(DISTINCT l_partkey) AS cnt FROM lineitem GROUP BY 1", sql.top(sql.spread_query(sql.spread_cells(sql.PAIRS), _SOURCES), SPREAD.k), 0.0001, "lineitem"))
@@ -323,44 +362,50 @@ def pair_keys(spark, d):
     return exact.frequency(streams.keys_of_pairs(streams.supply_pairs(spark, d)))
 
 
-# Order-dependent sketches ------------------------------------------------------------------------------------------
+# Order-dependent summaries ------------------------------------------------------------------------------------------
 
 
 @query()
-def coco_topk(spark, d):
-    users = with_worker(streams.user_keys(spark, d), COCO_S.workers)
-    return top_k(folds.coco_query(folds.coco_merge(folds.coco_build(users, USER_ORDER, COCO_S))), COCO.k)
+def keyed_topk(spark, d):
+    users = with_worker(streams.user_keys(spark, d), KEYED_S.workers)
+    return top_k(folds.keyed_query(folds.keyed_merge(folds.keyed_build(users, USER_ORDER, KEYED_S))), KEYED.k)
 
 
 @query()
-def coco_periodic(spark, d):
-    handed = modes.epochs(with_worker(streams.user_keys(spark, d), COCO_S.workers), USER_ORDER, COCO_S)
+def keyed_periodic(spark, d):
+    handed = modes.epochs(with_worker(streams.user_keys(spark, d), KEYED_S.workers), USER_ORDER, KEYED_S)
     part = handed.withColumn("worker", F.xxhash64("worker", "epoch").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return folds.coco_query(folds.coco_merge(folds.coco_build(part, USER_ORDER, COCO_S)))
+    return folds.keyed_query(folds.keyed_merge(folds.keyed_build(part, USER_ORDER, KEYED_S)))
+
+
+@query()
+def keyed_change_kernel(spark, d):
+    users = with_worker(streams.user_keys(spark, d), KEYED_S.workers)
+    return folds.keyed_query(folds.keyed_apply(folds.keyed_deltas(users, USER_ORDER, KEYED_S.threshold, KEYED_S, strict=True), KEYED_S))
 
 
 @query()
-def coco_change(spark, d):
-    users = with_worker(streams.user_keys(spark, d), COCO_S.workers)
-    return folds.coco_query(folds.coco_apply(folds.coco_deltas(users, USER_ORDER, COCO_S.threshold, COCO_S), COCO_S))
+def keyed_change(spark, d):
+    users = with_worker(streams.user_keys(spark, d), KEYED_S.workers)
+    return folds.keyed_query(folds.keyed_apply(folds.keyed_deltas(users, USER_ORDER, KEYED_S.threshold, KEYED_S), KEYED_S))
 
 
 @query()
-def elastic_topk(spark, d):
-    return top_k(folds.elastic_query(folds.elastic_build(streams.user_keys(spark, d), USER_ORDER, ELASTIC_S), ELASTIC_S), ELASTIC.k)
+def heavy_topk(spark, d):
+    return top_k(folds.heavy_query(folds.heavy_build(streams.user_keys(spark, d), USER_ORDER, HEAVY_S), HEAVY_S), HEAVY.k)
 
 
 @query()
-def elastic_periodic(spark, d):
-    handed = modes.epochs(with_worker(streams.user_keys(spark, d), ELASTIC_S.workers), USER_ORDER, ELASTIC_S)
-    parts = folds.elastic_build(handed, USER_ORDER, ELASTIC_S, ("worker", "epoch"))
-    return folds.elastic_query(folds.elastic_merge(parts, ["epoch", "worker"], ELASTIC_S), ELASTIC_S)
+def heavy_periodic(spark, d):
+    handed = modes.epochs(with_worker(streams.user_keys(spark, d), HEAVY_S.workers), USER_ORDER, HEAVY_S)
+    parts = folds.heavy_build(handed, USER_ORDER, HEAVY_S, ("worker", "epoch"))
+    return folds.heavy_query(folds.heavy_merge(parts, ["epoch", "worker"], HEAVY_S), HEAVY_S)
 
 
 @query()
-def elastic_change(spark, d):
-    users = with_worker(streams.user_keys(spark, d), ELASTIC_S.workers)
-    return folds.elastic_query(folds.elastic_apply(folds.elastic_deltas(users, USER_ORDER, ELASTIC_S.threshold, ELASTIC_S), ELASTIC_S), ELASTIC_S)
+def heavy_change(spark, d):
+    users = with_worker(streams.user_keys(spark, d), HEAVY_S.workers)
+    return folds.heavy_query(folds.heavy_apply(folds.heavy_deltas(users, USER_ORDER, HEAVY_S.threshold, HEAVY_S), HEAVY_S), HEAVY_S)
 
 
 # Streams -----------------------------------------------------------------------------------------------------------

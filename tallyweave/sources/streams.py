@@ -31,6 +31,10 @@ def supply_pairs(spark, sf_dir) -> DataFrame:
     return parquet(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_orderkey", "l_linenumber")
 
 
+def supplier_keys(spark, sf_dir) -> DataFrame:
+    return parquet(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"))
+
+
 def price_samples(spark, sf_dir) -> DataFrame:
     return parquet(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("long").alias("key"))
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SketchConfig
+from ..config import SummaryConfig
 from ..functions.hashing import with_worker
 from ..operators.cardinality import register_items
 from ..operators.frequency import cm_items
@@ -40,7 +40,7 @@ class CellStream:
         return latest.groupBy(*self.cells).agg(self.merge(self.value).alias(self.value))
 
 
-def start_cm(stream: DataFrame, cfg: SketchConfig, path: str, checkpoint: str, controller: ThresholdController | None = None, **trigger):
+def start_cm(stream: DataFrame, cfg: SummaryConfig, path: str, checkpoint: str, controller: ThresholdController | None = None, **trigger):
     """Count-Min in change mode over a stream of ``key``."""
     out = CellStream(path, ["row", "pos"], "value", F.sum)
     counts = cm_items(with_worker(stream, cfg.workers), cfg, ("worker",)).groupBy("worker", "row", "pos").agg(F.count("*").alias("n"))
@@ -52,7 +52,7 @@ def start_cm(stream: DataFrame, cfg: SketchConfig, path: str, checkpoint: str, c
     return out, counts.writeStream.outputMode("update").foreachBatch(out.sink(shipped)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_registers(stream: DataFrame, cfg: SketchConfig, path: str, checkpoint: str, **trigger):
+def start_registers(stream: DataFrame, cfg: SummaryConfig, path: str, checkpoint: str, **trigger):
     """HyperLogLog or LogLog registers over a stream of ``key``: every improvement ships."""
     out = CellStream(path, ["pos"], "rank", F.max)
     best = register_items(with_worker(stream, cfg.workers), cfg, ("worker",)).groupBy("worker", "pos").agg(F.max("rank").alias("n"))

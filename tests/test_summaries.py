@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.config import CM, COCO, COUNT, DD, ELASTIC, REGISTERS, SPREAD, UNIVMON
+from tallyweave.config import CM, KEYED, COUNT, DD, HEAVY, REGISTERS, SPREAD, LEVELS
 from tallyweave.functions.hashing import hash_value, with_worker
 from tallyweave.operators import cardinality, evaluate, exact, folds, frequency, quantiles, spread
 from tallyweave.operators.cells import merged_max, merged_sum
@@ -43,14 +43,14 @@ def test_count_min_bounds_the_truth_and_keeps_the_mass(items):
     assert all(r["est"] >= truth[r["key"]] for r in frequency.cm_query(cells, items.select("key").distinct(), CM.but(length=64)).collect())
 
 
-def test_count_sketch_is_exact_without_collisions(items):
+def test_count_summary_is_exact_without_collisions(items):
     got = rows(frequency.count_query(frequency.count_build(items), items.select("key").distinct()), "key", "est")
     truth = Counter(ITEMS)
     assert sum(got[(k,)] == n for k, n in truth.items()) > 0.95 * len(truth)
 
 
 def test_universal_levels_use_their_own_seeds(items):
-    cells = rows(frequency.univmon_build(items), "level", "row", "pos", "value")
+    cells = rows(frequency.levels_build(items), "level", "row", "pos", "value")
     want = Counter()
     for k in ITEMS:
         top = min(5, 32 - hash_value(k, 199).bit_length())
@@ -59,7 +59,7 @@ def test_universal_levels_use_their_own_seeds(items):
                 h = hash_value(k, 3 * level + r)
                 want[level, r, (h >> 1) % 65536] += 1 - 2 * (h & 1)
     assert cells == dict(want)
-    got = frequency.univmon_query(frequency.univmon_build(items), items.select("key").distinct(), UNIVMON.but(k=10))
+    got = frequency.levels_query(frequency.levels_build(items), items.select("key").distinct(), LEVELS.but(k=10))
     assert got.count() == got.select("key").distinct().count() >= 10
 
 
@@ -78,7 +78,7 @@ def test_registers(items):
     assert abs(cardinality.hll_estimate(cardinality.register_build(items), corrected=True).first()["est"] - n) < 0.05 * n
 
 
-def test_quantile_sketch_and_truth(items, spark):
+def test_quantile_summary_and_truth(items, spark):
     truth = sorted(ITEMS)
     got = rows(quantiles.exact_permille(items, 50), "permille", "value")
     assert got == {(i,): truth[i * len(truth) // 1000] for i in range(1000)}
@@ -115,7 +115,7 @@ def test_spread_equals_a_plain_computation(pairs, base):
         assert est == int(round(three[1], 6))
 
 
-@pytest.mark.parametrize("build,merge", [(frequency.cm_build, merged_sum), (frequency.count_build, merged_sum), (frequency.univmon_build, merged_sum), (cardinality.register_build, merged_max), (quantiles.dd_build, merged_sum)])
+@pytest.mark.parametrize("build,merge", [(frequency.cm_build, merged_sum), (frequency.count_build, merged_sum), (frequency.levels_build, merged_sum), (cardinality.register_build, merged_max), (quantiles.dd_build, merged_sum)])
 def test_merging_halves_equals_the_whole(items, build, merge):
     a, b = items.where("seq % 3 = 0"), items.where("seq % 3 <> 0")
     assert sorted(map(str, merge(build(a), build(b)).collect())) == sorted(map(str, build(items).select(*merge(build(a)).columns).collect()))
@@ -168,8 +168,8 @@ def test_periodic_equals_a_walk(items):
     assert rows(modes.periodic(items, ["seq"], cfg, frequency.cm_build), "row", "pos", "value") == dict(parent)
 
 
-def test_elastic_equals_a_walk_and_keeps_the_mass(items):
-    cfg = ELASTIC.but(buckets=7, light=32)
+def test_heavy_equals_a_walk_and_keeps_the_mass(items):
+    cfg = HEAVY.but(buckets=7, light=32)
     buckets, light = defaultdict(lambda: [[[0, 0] for _ in range(4)], 0]), Counter()
     for k in ITEMS:
         b = buckets[hash_value(k, 0) % 7]
@@ -185,32 +185,32 @@ def test_elastic_equals_a_walk_and_keeps_the_mass(items):
         else:
             b[1] += 1
             light[hash_value(k, 101) % 32] += 1
-    parts = folds.elastic_build(items, ["seq"], cfg).cache()
+    parts = folds.heavy_build(items, ["seq"], cfg).cache()
     heavy = {(r["bucket"], r["key"]): r["value"] for r in parts.where("slot >= 0").collect()}
     assert heavy == {(b, k): n for b, (slots, _) in buckets.items() for k, n in slots if n}
     assert rows(folds.light_cells(parts.where("slot < 0").select("key", "value"), cfg), "pos", "value") == {(p,): n for p, n in light.items()}
-    merged = folds.elastic_merge(folds.elastic_build(with_worker(items, W), ["seq"], cfg, ("worker",)), ["worker"], cfg)
+    merged = folds.heavy_merge(folds.heavy_build(with_worker(items, W), ["seq"], cfg, ("worker",)), ["worker"], cfg)
     assert merged.agg(F.sum("value")).first()[0] == len(ITEMS)
 
 
 def test_key_carrying_cells_keep_the_mass_and_find_the_heaviest(items):
-    cells = folds.coco_build(with_worker(items, W), ["seq"], COCO.but(length=64)).cache()
-    merged = folds.coco_merge(cells)
+    cells = folds.keyed_build(with_worker(items, W), ["seq"], KEYED.but(length=64)).cache()
+    merged = folds.keyed_merge(cells)
     assert merged.agg(F.sum("value")).first()[0] == len(ITEMS)
     assert merged.groupBy("row", "pos").count().where("count > 1").count() == 0
     heaviest = Counter(ITEMS).most_common(1)[0][0]
-    assert top_k(folds.coco_query(folds.coco_merge(folds.coco_build(with_worker(items, W), ["seq"]))), 1).first()["key"] == heaviest
-    deltas = folds.coco_deltas(with_worker(items, W), ["seq"], T)
+    assert top_k(folds.keyed_query(folds.keyed_merge(folds.keyed_build(with_worker(items, W), ["seq"]))), 1).first()["key"] == heaviest
+    deltas = folds.keyed_deltas(with_worker(items, W), ["seq"], T)
     shipped = deltas.agg(F.sum("value")).first()[0]
     assert len(ITEMS) - W * 2 * 400 * T < shipped <= len(ITEMS)
-    assert folds.coco_apply(deltas).agg(F.sum("value")).first()[0] == shipped
+    assert folds.keyed_apply(deltas).agg(F.sum("value")).first()[0] == shipped
 
 
-def test_elastic_change_ships_no_more_than_it_saw(items):
-    deltas = folds.elastic_deltas(with_worker(items, W), ["seq"], T, ELASTIC.but(buckets=7, light=32))
+def test_heavy_change_ships_no_more_than_it_saw(items):
+    deltas = folds.heavy_deltas(with_worker(items, W), ["seq"], T, HEAVY.but(buckets=7, light=32))
     shipped = deltas.agg(F.sum("value")).first()[0]
     assert 0.5 * len(ITEMS) < shipped <= len(ITEMS)
-    assert folds.elastic_apply(deltas, ELASTIC.but(buckets=7, light=32)).agg(F.sum("value")).first()[0] == shipped
+    assert folds.heavy_apply(deltas, HEAVY.but(buckets=7, light=32)).agg(F.sum("value")).first()[0] == shipped
 
 
 def test_top_k_breaks_ties_by_key(spark):
