@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,23 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def frugal(f):
+    """``f`` over batches, returning freed memory to the system after each:
+    workers live on and would otherwise keep their largest task's peak."""
+
+    def run(batches):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        pool = pa.default_memory_pool()
+        for out in f(batches):
+            yield out
+            del out
+            pool.release_unused()
+            if trim:
+                trim(0)
+
+    return run
+
+
 def planes(x: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of 64-bit values, byte by byte: planes of zeros compress away."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()

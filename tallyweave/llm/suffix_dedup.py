@@ -21,7 +21,8 @@ document with a smaller id.  Strings are those of the input, overlaps count.
 A gram in very many contexts is divided by the bytes beside it: a window
 reaches past its gram by half the rest on one side at least.
 
-Null texts are empty.  A null id stands after all others and never has a
+Texts beyond a block are hashed and sent block by block.  Null texts are empty.
+A null id ranks with the greatest bigint, after all others, and never has a
 smaller document among null ids; rows that repeat an id are documents of equal
 rank, none smaller than the other, and are cut each.  Texts below ``length``
 bytes stay whole.  An empty table gives an empty result; extra columns are
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, planes, release_shuffles, table, unplanes, written
+from .common import batch_rows, frugal, planes, release_shuffles, table, unplanes, written
 from .induced import suffix_order
 
 LENGTH, GRAM = 50, 24
@@ -50,25 +51,6 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _frugal(f):
-    """``f`` over batches, returning freed memory to the system after each:
-    workers live on and would otherwise keep their largest task's peak."""
-
-    def run(batches):
-        import ctypes
-
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        pool = pa.default_memory_pool()
-        for out in f(batches):
-            yield out
-            del out
-            pool.release_unused()
-            if trim:
-                trim(0)
-
-    return run
-
-
 class _Powers:
     up = down = np.empty(0, np.uint64)
 
@@ -96,8 +78,9 @@ def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     return done
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """(gram hash, context hash, text, place in it) of the anchors of ``texts``."""
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, starts: slice | None = None):
+    """(gram hash, context hash, text, place in it) of the anchors of ``texts``;
+    ``starts``: of windows that start there only."""
     sizes = np.array([len(t) for t in texts], np.int64)
     firsts = np.concatenate(([0], np.cumsum(sizes)))
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -115,6 +98,9 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         least = _sliding(np.minimum, h, w)[: n - length + 1]
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):  # windows that leave their text
             least[max(a, b - length + 1) : b] = 0
+        if starts:
+            least[: starts.start] = 0
+            least[starts.stop :] = 0
         # The greatest of the least over the windows that hold a gram: its own hash if it is the anchor of one.
         padded = np.concatenate((np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)))
         at = np.flatnonzero(_sliding(np.maximum, padded, w)[: len(h)] == h)
@@ -124,6 +110,17 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return h[at], context, text, at - firsts[text]
 
 
+def long_anchors(text: bytes, length: int = LENGTH, gram: int = GRAM, most: int = BLOCK):
+    """(gram hash, context hash, place) of one text's anchors, the windows of
+    ``most`` bytes at a time; an anchor of windows of two blocks comes with both."""
+    w, windows = length - gram + 1, len(text) - length + 1
+    for s in range(0, windows, most):
+        e = min(s + most, windows)
+        low = max(0, s - w + 1)
+        h, c, _, at = anchors([text[low : e + w - 2 + length]], length, gram, slice(s - low, e - low))
+        yield h, c, at + low
+
+
 def _blocks(column: pa.Array, most: int):
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
@@ -148,16 +145,31 @@ def _send(buckets: int, length: int, gram: int):
             for s, e in _blocks(b.column(2), PACKED):
                 yield b.slice(s, e - s)
 
+    def found(column):
+        for s, e in _blocks(column, BLOCK):
+            texts = _bytes(column.slice(s, e - s))
+            longest = max(range(len(texts)), key=lambda i: len(texts[i]))
+            if len(texts[longest]) > BLOCK:  # those beside it are empty
+                for h, c, at in long_anchors(texts[longest], length, gram, BLOCK):
+                    yield h, c, np.full(len(at), s + longest), at
+            else:
+                h, c, text, at = anchors(texts, length, gram)
+                yield h, c, text + s, at
+
+    def together(column):
+        held, size = [], 0
+        for part in found(column):
+            held.append(part)
+            size += len(part[0])
+            if size > PACKED // 8:  # more than a pack of ordinary texts has
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
     def send(batches):
-        for b in packs(batches):
+        for b, (h, c, row, at) in ((b, part) for b in packs(batches) for part in together(b.column(2))):
             keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            parts = []
-            for s, e in _blocks(b.column(2), BLOCK):
-                h, c, text, at = anchors(_bytes(b.column(2).slice(s, e - s)), length, gram)
-                parts.append((h, c, text + s, at))
-            h, c, row, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([],) * 4
-            if not len(h):
-                continue
             order = np.lexsort((at, keys[row], ids[row], c, h))
             h, c, row, at = h[order], c[order], row[order], at[order]
             head = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
@@ -371,13 +383,13 @@ def _cut(length: int, gram: int, with_text: bool, id_type: pa.DataType):
                     spans.append(np.stack([p, p + length], axis=1))
                 kept, removed, runs = data, 0, 0
                 if spans:
-                    edge = np.zeros(n + 1, np.int64)
                     s = np.concatenate(spans)
-                    np.add.at(edge, s[:, 0], 1)
-                    np.add.at(edge, s[:, 1], -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    s = s[np.argsort(s[:, 0], kind="stable")]
+                    reached = np.maximum.accumulate(s[:, 1])
+                    head = np.flatnonzero(np.append(True, s[1:, 0] > reached[:-1]))
+                    begin, end = s[head, 0], reached[np.append(head[1:], len(s)) - 1]
+                    removed, runs = int((end - begin).sum()), len(head)
+                    kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), n], strict=True))
                 out.append((doc_id.as_py(), n, removed, runs, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
             types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), *((pa.binary(),) if with_text else ())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept",) if with_text else ())]
@@ -389,7 +401,9 @@ def _cut(length: int, gram: int, with_text: bool, id_type: pa.DataType):
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining
-    bytes, kept) for each row.  Ids are integers."""
+    bytes, kept) for each row.  Ids are integers; ``length`` is at most 255."""
+    if not 0 < gram <= length <= 255:  # common prefixes travel in a byte
+        raise ValueError(f"0 < gram <= length <= 255 expected, not {gram}, {length}")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = docs.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("id").isNull())).first()
@@ -399,15 +413,15 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         docs = written(docs.withColumn("key", F.monotonically_increasing_id()), "repeats-keyed")
     rank = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("key", rank.alias("id"), "text").mapInArrow(_frugal(_send(max(64, 4 * partitions), length, gram)), _SENT_SCHEMA)
+    sent = docs.select("key", rank.alias("id"), "text").mapInArrow(frugal(_send(max(64, 4 * partitions), length, gram)), _SENT_SCHEMA)
     spread = F.when(F.col("bucket") == -1, F.xxhash64("first")).otherwise(F.xxhash64("bucket"))
-    met = sent.repartition(partitions, spread).sortWithinPartitions("bucket").mapInArrow(_frugal(_meet), "kind int, key long, id long, gram long, places array<long>")
+    met = sent.repartition(partitions, spread).sortWithinPartitions("bucket").mapInArrow(frugal(_meet), "kind int, key long, id long, gram long, places array<long>")
     with batch_rows(spark, ROWS):
         met = written(met, "repeats-met")
     release_shuffles(spark)
     asked = met.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("kind", "id", "gram", "places")).alias("asks"))
-    contexts = docs.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(_frugal(_fetch(length, gram)), "route long, id long, key long, context binary, places array<long>")
-    windows = contexts.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_frugal(_sort_shard(length)), "key long, begins array<long>")
+    contexts = docs.select("key", "text").join(asked, "key").select("key", "text", "asks").mapInArrow(frugal(_fetch(length, gram)), "route long, id long, key long, context binary, places array<long>")
+    windows = contexts.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(frugal(_sort_shard(length)), "key long, begins array<long>")
     with batch_rows(spark, ROWS):
         windows = written(windows, "repeats-windows")
     release_shuffles(spark)
@@ -418,7 +432,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     out = docs.join(spans, "key", "left").select("id", "text", "places", "begins")
     schema = f"doc_id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return out.mapInArrow(_frugal(_cut(length, gram, with_text, to_arrow_type(id_type))), schema)
+    return out.mapInArrow(frugal(_cut(length, gram, with_text, to_arrow_type(id_type))), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir):
