@@ -99,6 +99,33 @@ def test_equal_windows_have_equal_anchors():
     assert len(set.intersection(*inside.values())) >= 1 and len(inside) == 20
 
 
+@pytest.mark.parametrize("most", [1, 7, 64, 1000])
+def test_a_long_text_has_the_same_anchors_in_blocks(most):
+    rng = random.Random(2)
+    for alphabet in (b"ab", b"abcdefgh "):
+        for _ in range(40):
+            text = bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 600)))
+            h, c, _, at = suffix_dedup.anchors([text])
+            got = [x for g, d, p in suffix_dedup.long_anchors(text, most=most) for x in zip(g.tolist(), d.tolist(), p.tolist())]
+            assert set(got) == set(zip(h.tolist(), c.tolist(), at.tolist()))
+
+
+def test_repeats_in_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abc ") for _ in range(2000))
+    prose = lambda k: "".join(rng.choice("abcdefg ") for _ in range(k))
+    rows = [(i, prose(rng.randint(0, 900)) + shared[rng.randint(0, 700) : rng.randint(800, 2000)] + prose(rng.randint(0, 900))) for i in range(12)] + [(20, None), (21, ""), (22, shared)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(x[:5] for x in removed(rows, 50))
+
+
+@pytest.mark.parametrize("length", [20, 256])
+def test_lengths_beyond_a_byte_are_refused(spark, length):
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=length)
+
+
 # Decontamination ----------------------------------------------------------------------------------------------------
 
 BENCHMARK = [("i1", PASSAGE), ("i2", "X"), ("i3", None), ("i4", " ,;. "), ("i1", PASSAGE), (None, "no id at all no id"), ("i5", ROWS[1][1] + " elsewhere")]
