@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batch_rows, beside, dropped, free_name, planes, table, unplanes, written
+from .common import batch_rows, beside, dropped, free_name, frugal, planes, table, unplanes, written
 
 WINDOW, REACH = 10, 256
 #: Bytes of benchmark text in a broadcast block; bytes of text in a segment; windows, and places of their rarest terms, handled at once.
@@ -131,7 +131,8 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         if held:
             yield segment(held, pa.concat_arrays(ids))
 
-    return written(df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(build, _SEGMENT.format(id_type.simpleString())), "postings")
+    with batch_rows(df.sparkSession, 1000):
+        return written(df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(frugal(build), _SEGMENT.format(id_type.simpleString())), "postings")
 
 
 class Segment:
@@ -259,7 +260,7 @@ def _searched(segments: DataFrame, items: Iterator[Items], search, schema: str)
                     yield from search(Segment(b.slice(i, 1)), sent.value, first)
 
         with batch_rows(spark, SEGMENT_ROWS):
-            parts.append(written(segments.mapInArrow(each, schema), "found"))
+            parts.append(written(segments.mapInArrow(frugal(each), schema), "found"))
         sent.destroy()
     out = parts[0]
     for p in parts[1:]:

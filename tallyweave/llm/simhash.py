@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, beside, dropped, free_name, release_shuffles, table, written
+from .common import batch_rows, beside, dropped, free_name, frugal, release_shuffles, table, written
 from .graph import connected_components, local_components
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(each, f"doc_id {id_type}, fp long")
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(frugal(each), f"doc_id {id_type}, fp long")
 
 
 def blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -221,7 +221,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             linked = np.flatnonzero(labels != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[labels[linked]])], ["a", "b"])
 
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").where("a <> b")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(join), "a long, b long").where("a <> b")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +356,7 @@ def _verified(candidates: DataFrame, least: float) -> DataFrame:
                 held.append(row)
         yield from done()
 
-    return met.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(join, "a long, b long")
+    return met.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(frugal(join), "a long, b long")
 
 
 def similar(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,7 +388,8 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
             fps, node = (pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([g[1] for g in got], pa.binary()), node], ["doc_id", "_row", "fp", "profile", "node"])
 
-    docs = written(rows.select("doc_id", "_row", "text").mapInArrow(each, f"doc_id {id_type}, _row long, fp long, profile binary, node long"), "profiles")
+    with batch_rows(rows.sparkSession, 1000):
+        docs = written(rows.select("doc_id", "_row", "text").mapInArrow(frugal(each), f"doc_id {id_type}, _row long, fp long, profile binary, node long"), "profiles")
     nodes = docs.groupBy("node").agg(F.first("fp").alias("fp"), F.first("profile").alias("profile"), F.min("_row").alias("_row"))
     chosen = bands(nodes.count())
 
@@ -417,7 +418,7 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
             linked = np.flatnonzero(labels != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
 
-    edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+    edges = met.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(join), "a long, b long")
     groups = connected_components(edges)
     spark = rows.sparkSession
     release_shuffles(spark)
@@ -431,7 +432,7 @@ def _labelled(rows: DataFrame, words: int, least: float) -> DataFrame:
     with batch_rows(spark, 1000):
         asked = beside(written(nodes.join(groups, "node").select("component", "node", "profile", "_row"), "asked"))
         texts = rows.join(asked, "_row").select("component", "node", "profile", "text")
-        candidates = written(texts.mapInArrow(sets, "component long, node long, profile binary, shingles binary"), "candidates")
+        candidates = written(texts.mapInArrow(frugal(sets), "component long, node long, profile binary, shingles binary"), "candidates")
         links = written(_verified(candidates, least), "verified")
     dropped(candidates)
     groups = connected_components(links)
