@@ -10,7 +10,7 @@ from .common import dropped, written
 
 
 #: A node of more edges is busy, and of so many edges in all there are at most as many busy nodes.
-BUSY, BUSY_NODES = 1000, 1000
+BUSY, BUSY_NODES = 100, 1000
 
 
 def _beside_least(edges: DataFrame, n: int) -> DataFrame:
